@@ -29,15 +29,18 @@ keep one row each.  An empty table gives an empty store.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,29 +53,83 @@ ADDRESS = 16
 _codecs: dict[bytes, WordTable] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordTable:
-    """Ids of texts by way of their blank-separated words."""
+    """Ids of texts by way of their blank-separated words.
+
+    Texts are split and their words made distinct in Arrow; each distinct word's
+    ids come from the table and are gathered by position in numpy.  A word the
+    table lacks is given to the library; plain words go straight to its model,
+    past normalisation.  If the tokenizer lower-cases, A-Z are lowered beforehand, and where
+    it parts a letter from the marks behind it, a word's ids are those of the
+    word without trailing marks, then those of the marks; both keep the table
+    small.  Each of these short cuts is taken only if probes show it to be exact.
+    """
 
-    def __init__(self, tokenizer: bytes, most: int = 400_000, longest: int = 64):
+    MARKS = ".,!?;:"
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")  # lower-case letters, composed
+
+    def __init__(self, tokenizer: bytes, most: int = 700_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer.decode())
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.most, self.longest, self.table = most, longest, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, no special tokens added."""
+        self.guards = [t["content"] for t in json.loads(tokenizer)["added_tokens"]]
+        words = ("ab", "zoo", "\u00e9t\u00e9", "stra\u00dfe", "unbelievable", "x", "\u00ff\u00e0")
+        self.lowers = all(self.whole(p) == self.whole(p.encode().lower().decode()) for p in ("Ab CD", "\u00c9I\u0307", "xK"))
+        self.parts = all(self.whole(f"{w}{m}") == self.whole(w) + self.whole(m) for w in words for m in (*self.MARKS, "..", "!?", ".,"))
+        self.direct = all(self.plain(w) == self.whole(w) for w in words)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, word: str) -> bytes:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def ids_of(self, word: str) -> bytes:
+        """Of a word the table lacks; it is entered if it is not too long."""
+        core = word.rstrip(self.MARKS) if self.parts else word
+        if core != word and core and self.PLAIN.fullmatch(core[-1]):
+            tail = word[len(core) :]
+            found = (self.table.get(core) or self.ids_of(core)) + (self.table.get(tail) or self.ids_of(tail))
+        else:
+            found = self.plain(word) if self.direct and self.PLAIN.fullmatch(word) else self.whole(word)
+        if len(word) <= self.longest:
+            self.table[word] = found
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The unsigned 32-bit ids of each text, no special tokens added."""
         if len(self.table) > self.most:
             self.table = {"": b""}
-        split = [re.split("[ \n]", t) if "\n" in t else t.split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.table))
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.table[word] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.table.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > self.longest:
-                del self.table[word]
-        return out
+        if self.lowers:
+            lowered = pc.ascii_lower(texts)
+            for guard in self.guards:  # a special token must not come about by lowering
+                lowered = pc.if_else(pc.match_substring(texts, guard, ignore_case=True), texts, lowered)
+            texts = lowered
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        distinct = split.flatten().dictionary_encode()
+        get = self.table.get
+        found = [self.ids_of(w) if (ids := get(w)) is None else ids for w in distinct.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        store = np.frombuffer(b"".join(found), "<u4")
+        at = distinct.indices.to_numpy()
+        size = sizes[at]
+        ends = np.cumsum(size)
+        place = np.int32 if len(store) + size.sum() < 1 << 31 else np.int64
+        ids = store[np.repeat((begins[at] - ends + size).astype(place), size) + np.arange(ends[-1] if len(ends) else 0, dtype=place)]
+        border = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:z] for a, z in itertools.pairwise(border.tolist())]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -174,18 +231,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | N
     top = max([*vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary["added_tokens"]), end_id or 0])
     width = 2 if top < 1 << 16 else 4
     model = spark.sparkContext.broadcast(raw)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], "<u4")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _codecs.setdefault(blake2b(model.value).digest(), WordTable(model.value)) if blake2b(model.value).digest() not in _codecs else _codecs[blake2b(model.value).digest()]
+        name = blake2b(model.value).digest()
+        if name not in _codecs:
+            _codecs[name] = WordTable(model.value)
+        table = _codecs[name]  # kept from task to task
         seen: set[bytes] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             rows: list[tuple] = []
             if len(seen) > 200_000:
                 seen.clear()
-            for doc, stream in zip(batch.column(0), table.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(stream + tail, "<u4")
+            for doc, stream in zip(batch.column(0), table.encode(batch.column(1)), strict=True):
+                ids = np.concatenate((stream, tail))
                 stored, begin, addresses, lengths = ids.astype(f"<u{width}").tobytes(), 0, [], []
                 for end in cuts(ids) if len(ids) else ():
                     payload = stored[begin * width : end * width]
