@@ -72,10 +72,11 @@ class WordTable:
     small.  Each of these short cuts is taken only if probes show it to be exact.
     """
 
-    MARKS = ".,!?;:"
+    MARKS = ".,!?;:%$#&*|()"
     PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")  # lower-case letters, composed
+    LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").fullmatch
 
-    def __init__(self, tokenizer: bytes, most: int = 700_000, longest: int = 64):
+    def __init__(self, tokenizer: bytes, most: int = 1_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +86,7 @@ class WordTable:
         self.guards = [t["content"] for t in json.loads(tokenizer)["added_tokens"]]
         words = ("ab", "zoo", "\u00e9t\u00e9", "stra\u00dfe", "unbelievable", "x", "\u00ff\u00e0")
         self.lowers = all(self.whole(p) == self.whole(p.encode().lower().decode()) for p in ("Ab CD", "\u00c9I\u0307", "xK"))
-        self.parts = all(self.whole(f"{w}{m}") == self.whole(w) + self.whole(m) for w in words for m in (*self.MARKS, "..", "!?", ".,"))
+        self.parts = all(self.whole(f"{w}{m}") == self.whole(w) + self.whole(m) for w in words for m in (*self.MARKS, "..", "!?", ".,", "%%%", "|!"))
         self.direct = all(self.plain(w) == self.whole(w) for w in words)
 
     def whole(self, text: str) -> bytes:
@@ -95,18 +96,33 @@ class WordTable:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def ids_of(self, word: str) -> bytes:
-        """Of a word the table lacks; it is entered if it is not too long."""
-        core = word.rstrip(self.MARKS) if self.parts else word
-        if core != word and core and self.PLAIN.fullmatch(core[-1]):
-            tail = word[len(core) :]
-            found = (self.table.get(core) or self.ids_of(core)) + (self.table.get(tail) or self.ids_of(tail))
-        else:
-            found = self.plain(word) if self.direct and self.PLAIN.fullmatch(word) else self.whole(word)
+    def learn(self, word: str) -> bytes:
+        """Enter a word, if it is not too long."""
+        low = word if word.islower() or not self.lowers else word.lower()
+        found = self.plain(low) if self.direct and self.PLAIN.fullmatch(low) and max(word) < "\u0100" else self.whole(word)
         if len(word) <= self.longest:
             self.table[word] = found
         return found
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        get, learn, marks, last = self.table.get, self.learn, self.MARKS if self.parts else "", self.LETTER
+        out = []
+        for word in words:
+            ids = get(word)
+            if ids is None:
+                core = word.rstrip(marks)
+                if len(core) < len(word) and core and last(core[-1]):  # not entered: words with marks are many
+                    tail = word[len(core) :]
+                    ids = get(core)
+                    if ids is None:
+                        ids = learn(core)
+                    more = get(tail)
+                    ids += learn(tail) if more is None else more
+                else:
+                    ids = learn(word)
+            out.append(ids)
+        return out
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The unsigned 32-bit ids of each text, no special tokens added."""
         if len(self.table) > self.most:
@@ -118,8 +134,7 @@ class WordTable:
             texts = lowered
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         distinct = split.flatten().dictionary_encode()
-        get = self.table.get
-        found = [self.ids_of(w) if (ids := get(w)) is None else ids for w in distinct.dictionary.to_pylist()]
+        found = self.ids_of(distinct.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = np.cumsum(sizes) - sizes
         store = np.frombuffer(b"".join(found), "<u4")
