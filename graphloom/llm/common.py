@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_folder: list[str] = []
@@ -125,10 +126,40 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def local_roots(n: int, i: list[int], j: list[int]) -> list[int]:
+    """The smallest member of each node's component in the graph on 0..n-1."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(i, j, strict=True):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def contracted(edges: DataFrame, count: int, most_edges: int) -> DataFrame:
+    """Edges (u > v) with the same components, no more than one a node in each part of about ``most_edges``."""
+    kind = edges.schema["u"].dataType
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), pa.schema([("u", to_arrow_type(kind)), ("v", to_arrow_type(kind))]))
+        nodes, place = np.unique(np.concatenate([held.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]), return_inverse=True)
+        roots = np.array(local_roots(len(nodes), place[: len(held)].tolist(), place[len(held) :].tolist()), np.int64)
+        own = np.flatnonzero(roots != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k], to_arrow_type(kind)) for k in (own, roots[own])], names=["u", "v"])
+
+    return edges.repartition(-(-count // most_edges)).mapInArrow(stars, edges.schema)
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 64, most_edges: int = 200_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until nothing changes.  Every
+    First, parts of at most about ``most_edges`` edges are each reduced to stars, then
+    all of them together.  That alternates the large-star and small-star steps until nothing changes.  Every
     step is a partial aggregation and an equi-join whose streamed side adaptive
     execution can split, so a hub's links need not meet in one task.  Each
     round is written to the shared folder and the one before is deleted.
@@ -138,6 +169,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
+    count = graph.count()
+    if count:
+        fewer = written(contracted(graph, count, most_edges).distinct(), "edges")
+        drop_written(graph)
+        graph = fewer
     seen = None
     for _ in range(most_rounds):
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -172,9 +172,10 @@ def test_one_of_each_group_stays(spark, odd_docs, clashing, no_docs):
     assert [r.component_id for r in lone] == [None, None]
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("most_edges", [10, 200_000])
+def test_components_of_a_path_and_a_star(spark, most_edges):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 164)] + [(5, k) for k in range(6, 60)] + [(200, 200), (None, 3)], "u long, v long")
-    found = {r.node: r.root for r in common.connected_components(edges).collect()}
+    found = {r.node: r.root for r in common.connected_components(edges, most_edges=most_edges).collect()}
     assert found == {k: 100 for k in range(100, 165)} | {k: 5 for k in range(5, 60)}
     assert common.connected_components(edges.limit(0)).count() == 0
 
