@@ -443,3 +443,13 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(found.columns) == columns
     text = lambda f: sorted(map(tuple, f[columns].astype(object).where(f[columns].notna(), None).astype(str).values.tolist()))
     assert text(found) == text(wanted)
+
+
+def test_personal_data_query(spark, sf):
+    found = {r.doc_id: r for r in queries.op6_pii(spark, sf).collect()}
+    for r in rows_of(spark, sf).collect():
+        base = slow_spans(r.text)
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        f = found[r.doc_id]
+        assert [f.n_email, f.n_ip, f.n_card, f.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert f.base_sha256 == hashlib.sha256(shown.encode()).hexdigest() and f.spans.startswith(shown)
