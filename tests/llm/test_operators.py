@@ -172,6 +172,29 @@ def test_one_of_each_group_stays(spark, odd_docs, clashing, no_docs):
     assert [r.component_id for r in lone] == [None, None]
 
 
+def test_copies_go_and_texts_that_share_a_passage_stay(spark):
+    """Against all pairs of exact similarities of five-word shingles."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    shared, texts = word(40), []
+    for _ in range(25):
+        base = word(int(rng.integers(30, 400)))
+        texts.append(base)
+        for _ in range(int(rng.integers(0, 4))):  # near copies of all degrees
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, max(2, len(copy) // 40)))):
+                copy[at] = "changed"
+            texts.append(copy)
+    texts += [[*word(int(rng.integers(10, 60))), *shared] for _ in range(60)]
+    texts += [word(int(n)) for n in rng.integers(0, 9, 80)]
+    texts = [" ".join(t) for t in texts]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_rows=30).collect()}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles(t.split()) for t in texts]
+    roots = slow_components(dict(enumerate(sets)), lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert kept == {k for k, r in roots.items() if k == r}
+
+
 @pytest.mark.parametrize("most_edges", [10, 200_000])
 def test_components_of_a_path_and_a_star(spark, most_edges):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 164)] + [(5, k) for k in range(6, 60)] + [(200, 200), (None, 3)], "u long, v long")
