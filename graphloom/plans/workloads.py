@@ -357,9 +357,9 @@ def fts_filtered_paged(spark, sf_dir):
     return rows.crossJoin(F.broadcast(total)).select("doc_id", "score", "total")  # one row
 
 
-@query("SELECT p_name, p_partkey FROM part WHERE p_name ILIKE '%1%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
+@query("SELECT p_name, p_partkey FROM part WHERE p_name ILIKE '%R%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
 def search_like_paged(spark, sf_dir):
-    return search.page(table(spark, sf_dir, "part").where(F.col("p_name").ilike("%1%")).select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], 20, 20)[0]
+    return search.page(table(spark, sf_dir, "part").where(F.col("p_name").ilike("%R%")).select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], 20, 20)[0]
 
 
 # Rendering: a conversation is a file, its turns are methods ----------------------------------------------------------
