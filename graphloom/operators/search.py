@@ -28,6 +28,10 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
     fit = lambda w, t: F.coalesce(w.startswith(t[:-1]) if t.endswith("*") else w == t, F.lit(False))
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda w: fit(w, phrase[0])))
+    if not phrase[-1].endswith("*"):  # on the joined terms, once for a row; occurrences that overlap count as one
+        joined = F.concat(F.lit(" "), F.array_join(words, "  ", "|"), F.lit(" "))
+        sought = " " + "  ".join(phrase) + " "
+        return ((F.char_length(joined) - F.char_length(F.replace(joined, F.lit(sought), F.lit("")))) / len(sought)).cast("int")
     starts = F.sequence(F.lit(0), F.size(words) - 1)
     hit = lambda i: __import__("functools").reduce(lambda a, b: a & b, [fit(F.get(words, i + k), t) for k, t in enumerate(phrase)])
     return F.when(F.size(words) < 1, 0).otherwise(F.size(F.filter(starts, hit)))
