@@ -27,6 +27,12 @@ EXTENSIONS = {
     "elixir": (".ex", ".exs"),
 }
 BY_EXTENSION = {e: language for language, own in EXTENSIONS.items() for e in own}
+# Files that are never looked into.
+MINIFIED_NAMES = (".min.js", ".min.css", ".bundle.js", ".chunk.js")
+LOCK_NAMES = tuple(".ds_store cargo.lock composer.lock flake.lock gemfile.lock package-lock.json pipfile.lock pnpm-lock.yaml poetry.lock thumbs.db yarn.lock".split())
+OPAQUE_EXTENSIONS = tuple(
+    ".7z .a .avi .bmp .bz2 .class .db .dll .doc .docx .eot .exe .gif .gz .ico .jar .jpeg .jpg .lib .map .mov .mp3 .mp4 .npy .npz .o .otf .pdf .pickle .pkl .png .pyc .pyd .pyo .so .sqlite .sqlite3 .svg .tar .ttf .war .wasm .wav .woff .woff2 .xls .xlsx .xz .zip .zst".split()
+)
 CONFIG_LABELS = {".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".md": "markdown", ".sql": "sql", ".proto": "protobuf", ".graphql": "graphql", ".env": "dotenv"}
 
 

@@ -1,8 +1,10 @@
-"""Definitions, calls and imports of source files: one file in, many rows out.
+"""Definitions, calls and imports of source files.
 
-Python files are parsed with the standard library; where a file does not
-parse, the longest run of its leading lines that does is used.  Other
-languages, and files without definitions, give one File row, made of columns.
+``extracted`` reads a file once and gives one row with arrays of definitions
+and imports; ``symbols`` unfolds it.  Python files are parsed
+with the standard library; where a file does not parse, the longest run of its
+leading lines that does is used.  Sixteen other languages are scanned
+(``scanners``).  All other files, and those without definitions, have one File row.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import naming, text
+from graphloom.operators import scanners
 
-SYMBOLS = (
-    "path string, name string, label string, parent string, start_line int, end_line int, signature string, decorators array<string>, is_async boolean, "
-    "calls array<struct<callee:string,line:int,qualifier:string>>, imports array<struct<module_path:string,names:array<string>,alias:string,line:int>>, unsupported_calls int"
+IMPORTS = "array<struct<module_path:string,names:array<string>,alias:string,line:int>>"
+SYMBOL = (
+    "struct<name:string,label:string,parent:string,start_line:int,end_line:int,signature:string,source:string,decorators:array<string>,is_async:boolean,receiver:string,visibility:string,"
+    f"is_static:boolean,is_abstract:boolean,return_type:string,calls:array<struct<callee:string,line:int,qualifier:string>>,imports:{IMPORTS},unsupported_calls:int>"
 )
 DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -70,7 +74,12 @@ def inside(node: ast.AST) -> Iterator[ast.AST]:
             yield from inside(child)
 
 
-def python_symbols(path: str, source: str) -> list[dict]:
+def scope_imports(tree: ast.Module) -> list[dict]:
+    return imports_of([c for c in inside(tree) if isinstance(c, ast.stmt)])
+
+
+def python_symbols(source: str) -> tuple[list[dict], list[dict]]:
+    """Definitions in order, and the imports outside them."""
     tree, _ = parsed(source)
     rows: list[dict] = []
     lines = source.split("\n")
@@ -91,8 +100,9 @@ def python_symbols(path: str, source: str) -> list[dict]:
                 head = " ".join(" ".join(lines[child.lineno - 1 : max(child.lineno, child.body[0].lineno - 1)]).split())
                 rows.append(
                     {
-                        "path": path, "name": child.name, "label": "Class" if is_class else "Function", "parent": parent, "start_line": child.lineno, "end_line": child.end_lineno,
-                        "signature": head, "decorators": [ast.unparse(d) for d in child.decorator_list], "is_async": isinstance(child, ast.AsyncFunctionDef),
+                        "name": child.name, "label": "Class" if is_class else "Function", "parent": parent, "start_line": child.lineno, "end_line": child.end_lineno,
+                        "signature": head, "source": "\n".join(lines[child.lineno - 1 : child.end_lineno]), "receiver": "", "visibility": "", "is_static": False, "is_abstract": False,
+                        "return_type": ast.unparse(child.returns) if not is_class and child.returns else "", "decorators": [ast.unparse(d) for d in child.decorator_list], "is_async": isinstance(child, ast.AsyncFunctionDef),
                         "calls": calls, "imports": imports_of([c for c in body if isinstance(c, ast.stmt)]), "unsupported_calls": unsupported,
                     }
                 )
@@ -100,21 +110,46 @@ def python_symbols(path: str, source: str) -> list[dict]:
             else:
                 visit(child, parent)
 
-    if tree is not None:
-        visit(tree, "")
-    return rows
+    if tree is None:
+        return [], []
+    visit(tree, "")
+    return rows, scope_imports(tree)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Rows of ``SYMBOLS`` of the Python files among (path, source)."""
+def skipped(path: Column, source: Column) -> Column:
+    """Files that are stored but never looked into: by name, extension, size or a line too long."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    bundled = F.lit(False)
+    for ending in naming.MINIFIED_NAMES:
+        bundled = bundled | name.endswith(ending)
+    return naming.extension(path).isin(*naming.OPAQUE_EXTENSIONS) | name.isin(*naming.LOCK_NAMES) | bundled | (F.octet_length(source) > text.FILE_BYTES) | text.minified(source)
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """path, symbols (array), imports (array) and error of each of (path, source) in a known language.
+
+    A null source counts as empty.  Nothing that a source holds raises: a file
+    whose extraction fails has no symbols, and the error's text.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SYMBOLS.split(", ")]
         for frame in frames:
-            rows = [r for p, s in zip(frame["path"], frame["source"], strict=True) for r in python_symbols(p, s or "")]
-            yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for path, language, source in zip(frame["path"], frame["language"], frame["source"], strict=True):
+                try:
+                    found = python_symbols(source or "") if language == "python" else scanners.symbols(source or "", language)
+                    rows.append((path, *found, None))
+                except (ValueError, RecursionError, MemoryError) as failed:
+                    rows.append((path, [], [], f"{type(failed).__name__}: {failed}"))
+            yield pd.DataFrame(rows, columns=["path", "symbols", "imports", "error"])
+
+    known = files.select("path", naming.language(F.col("path")).alias("language"), "source").where("language is not null")
+    return known.mapInPandas(run, f"path string, symbols array<{SYMBOL}>, imports {IMPORTS}, error string")
 
-    return files.where(naming.language(F.col("path")) == "python").select("path", "source").mapInPandas(run, SYMBOLS)
+
+def symbols(files: DataFrame) -> DataFrame:
+    """path and the fields of ``SYMBOL`` of each definition in (path, source)."""
+    return extracted(files).select("path", F.inline("symbols"))
 
 
 def file_rows(files: DataFrame) -> DataFrame:

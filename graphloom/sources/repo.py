@@ -16,8 +16,6 @@ SKIPPED_FOLDERS = tuple(
 SKIPPED_EXTENSIONS = tuple(
     ".7z .a .arrow .avi .bmp .bz2 .class .db .dll .dylib .ear .eot .exe .gif .gz .ico .jar .jpeg .jpg .lib .map .mov .mp3 .mp4 .npy .npz .o .otf .out .parquet .pdf .pickle .pkl .png .pyc .pyd .pyo .rar .so .sqlite .sqlite3 .tar .ttf .war .wasm .wav .webm .woff .woff2 .xz .zip .zst".split()
 )
-SKIPPED_NAMES = tuple(".ds_store cargo.lock composer.lock flake.lock gemfile.lock package-lock.json pipfile.lock pnpm-lock.yaml poetry.lock thumbs.db yarn.lock".split())
-MINIFIED_NAMES = (".min.js", ".min.css", ".bundle.js", ".chunk.js")
 
 
 def ignore_pattern(line: str) -> tuple[str, bool] | None:
@@ -30,8 +28,8 @@ def ignore_pattern(line: str) -> tuple[str, bool] | None:
     folder, line = line.endswith("/"), line.rstrip("/")
     anchored, line = "/" in line, line.lstrip("/")
     out = ""
-    for token in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", line):
-        out += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token) or (token.replace("[!", "[^") if len(token) > 1 else re.escape(token))
+    for token in re.findall(r"/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", line):
+        out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token) or (token.replace("[!", "[^") if len(token) > 1 else re.escape(token))
     return ("^" if anchored else "(?:^|/)") + out + ("/.*$" if folder else "(?:/.*)?$"), again
 
 
@@ -47,13 +45,21 @@ def wanted(path: Column, size: Column, max_bytes: int = 2 << 20, unknown: bool =
     """By folders, name, extension and size."""
     folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     name, ext = F.lower(F.substring_index(path, "/", -1)), naming.extension(path)
-    keep = ~F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS)) & ~ext.isin(*SKIPPED_EXTENSIONS) & ~name.isin(*SKIPPED_NAMES)
+    keep = ~F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS)) & ~ext.isin(*SKIPPED_EXTENSIONS) & ~name.isin(*naming.LOCK_NAMES)
     keep = keep & ((size <= max_bytes) if max_bytes > 0 else F.lit(True))
-    for ending in MINIFIED_NAMES:
+    for ending in naming.MINIFIED_NAMES:
         keep = keep & ~name.endswith(ending)
     return keep if unknown else keep & naming.language(path).isNotNull()
 
 
+def empty_files(listed: DataFrame) -> DataFrame:
+    """Files of no length, which the reader leaves out, with a time of zero: their contents cannot have changed."""
+    names = listed.sparkSession.createDataFrame([(p,) for p in listed.inputFiles()], "path string")  # the listing, which the driver holds in any case
+    named = names.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("path")  # slashes behind the scheme vary
+    return named.select(plain).join(listed.select(plain), "path", "left_anti").select("path", F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def read_repository(spark: SparkSession, root: str, ignore_lines: list[str] = [], max_bytes: int = 2 << 20, max_files: int = 0, unknown: bool = True) -> DataFrame:  # noqa: B006
     """path, source, sha256, mtime_ns and size_bytes of the files below a folder, read where the tasks run.
 
@@ -63,7 +69,7 @@ def read_repository(spark: SparkSession, root: str, ignore_lines: list[str] = []
     base = root.rstrip("/")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     relative = F.regexp_replace("path", r"^\w+:/*" + re.escape("/" + base.split(":", 1)[-1].strip("/") + "/").replace("/", "/+").lstrip("/+"), "")
-    rows = listed.withColumn("rel", relative).where(wanted(F.col("rel"), F.col("length"), max_bytes, unknown) & ~ignored(F.col("rel"), ignore_lines))
+    rows = listed.unionByName(empty_files(listed)).withColumn("rel", relative).where(wanted(F.col("rel"), F.col("length"), max_bytes, unknown) & ~ignored(F.col("rel"), ignore_lines))
     if max_files:
         rows = rows.orderBy("rel").limit(max_files)
     source = F.decode("content", "UTF-8") if spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))
