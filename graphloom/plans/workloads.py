@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom import storage
+from graphloom import index, storage
 from graphloom.functions import naming, text
 from graphloom.operators import context, extract, graph, payload, resolve, search
 from graphloom.sources import repo
@@ -440,3 +440,69 @@ def broken(:
 def extract_python_symbols(spark, sf_dir):
     rows = extract.symbols(spark.createDataFrame([("src/box.py", SAMPLE), ("src/x.go", "package x")], "path string, source string"))
     return rows.select("name", "label", "parent", "start_line", "signature", F.array_join("decorators", ",").alias("decorators"), F.array_join(F.transform("calls", lambda c: c.callee), ",").alias("calls"))
+
+
+# Whole path from sources to edges: each part is a file in one of four languages, calling the next part's function -----
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    forms = (
+        ("app/p{k}.py", "from app.p{n} import f{n}\n\ndef f{k}(x):\n    return f{n}(x)\n"),
+        ("app/p{k}.ts", "// f{n}(0)\nexport function f{k}(x: number): number {\n  return f{n}(x);\n}\n"),
+        ("app/p{k}.go", 'package app\n\nfunc f{k}(x int) int {\n\tprintln("f{n}(0)")\n\treturn f{n}(x)\n}\n'),
+        ("app/p{k}.java", "class P{k} {\n  private static int f{k}(int x) { return f{n}(x); }\n}\n"),
+    )
+    filled = lambda form: F.replace(F.replace(F.lit(form), F.lit("{k}"), k.cast("string")), F.lit("{n}"), (k + 1).cast("string"))
+    chosen = lambda i: F.get(F.array(*(filled(f[i]) for f in forms)), (k % 4).cast("int"))
+    return table(spark, sf_dir, "part").select(chosen(0).alias("path"), chosen(1).alias("source"))
+
+
+PART_SYMBOLS = """p AS (SELECT p_partkey AS k, 'app.p' || p_partkey || CASE WHEN p_partkey % 4 = 3 THEN '.P' || p_partkey ELSE '' END || '.f' || p_partkey AS qn FROM part)"""
+
+
+@query(f"""WITH {PART_SYMBOLS} SELECT s.qn AS source_qn, t.qn AS target_qn, CASE WHEN s.k % 4 = 0 THEN 'import_map' ELSE 'fuzzy' END AS strategy, CAST(CASE WHEN s.k % 4 = 0 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence,
+CAST([4, 3, 5, 2][s.k % 4 + 1] AS INTEGER) AS line FROM p s JOIN p t ON t.k = s.k + 1""")
+def sources_to_edges(spark, sf_dir):
+    files = part_sources(spark, sf_dir)
+    raw = storage.cut_lineage(extract.extracted(files))
+    symbols = storage.cut_lineage(index.symbol_rows(files, raw))
+    calls = index.call_rows(symbols).where("callee <> 'println'")
+    found = resolve.resolve(calls, index.import_rows(raw, symbols), symbols)
+    return index.edge_rows(calls, found, symbols, 0.0).select("source_qn", "target_qn", "strategy", "confidence", "line")
+
+
+@query("""SELECT 'app/p' || p_partkey || ['.py', '.ts', '.go', '.java'][p_partkey % 4 + 1] AS file_path, 'f' || p_partkey AS name, CASE WHEN p_partkey % 4 = 3 THEN 'P' || p_partkey ELSE '' END AS parent,
+CAST([3, 2, 3, 2][p_partkey % 4 + 1] AS INTEGER) AS start_line, CAST([4, 4, 6, 2][p_partkey % 4 + 1] AS INTEGER) AS end_line, CASE WHEN p_partkey % 4 = 3 THEN 'private' ELSE '' END AS visibility,
+['def f' || p_partkey || '(x):', 'export function f' || p_partkey || '(x: number): number {', 'func f' || p_partkey || '(x int) int {', 'private static int f' || p_partkey || '(int x) { return f' || (p_partkey + 1) || '(x); }'][p_partkey % 4 + 1] AS signature FROM part""")
+def extract_functions(spark, sf_dir):
+    return extract.symbols(part_sources(spark, sf_dir)).where("label = 'Function'").select(F.col("path").alias("file_path"), "name", "parent", "start_line", "end_line", "visibility", "signature")
+
+
+@query(f"""WITH {TURNS} SELECT file_path, rpad(file_path, CAST(greatest(62, length(file_path)) AS INTEGER), ' ') || printf('  %3d  %3d  %4d  (~%d tokens)', 0, count(*) FILTER (label = 'Function'), count(*) FILTER (label = 'Method'), CAST((sum(length(signature)) + count(*) - 1) // 4 AS BIGINT)) AS block FROM turns GROUP BY file_path""")
+def context_summary(spark, sf_dir):
+    return context.blocks(turns(spark, sf_dir).withColumn("properties", F.lit(None).cast("string")), table(spark, sf_dir, "conversations"), "summary")
+
+
+OTHER_SOURCES = [
+    ("a.rs", "use crate::p::{service::Charge as C, Refund};\nimpl Pay {\n  pub fn new() -> Self { make(1) }\n}\npub trait T { fn t(&self); }\n"),
+    ("b.cs", "using SB = System.Text.StringBuilder;\nclass A { public A(int x) { Run(x); } void Run(int y) {} }\n"),
+    ("c.rb", "class Foo\n  def bar(x)\n    baz(x) if x\n  end\nend\n"),
+    ("d.kt", "import a.b.*\nclass K {\n  fun one(x: Int) = two(x)\n}\n"),
+    ("e.lua", "local function a(x)\n  if x then b(x) end\nend\n"),
+    ("f.ex", "defmodule App.Pay do\n  def charge(a) do\n    foo(a)\n  end\nend\n"),
+    ("g.sh", "build() {\n  make all\n}\n"),
+    ("h.php", "<?php\nclass F { static function bar($x) { return baz($x); } }\n"),
+]
+
+
+@query("""SELECT * FROM (VALUES ('a.rs', 'Class', 'Pay', '', ''), ('a.rs', 'Function', 'new', 'Pay', 'make'), ('a.rs', 'Interface', 'T', '', ''), ('a.rs', 'Function', 't', 'T', ''),
+('b.cs', 'Class', 'A', '', ''), ('b.cs', 'Function', 'A', 'A', 'Run'), ('b.cs', 'Function', 'Run', 'A', ''), ('c.rb', 'Class', 'Foo', '', ''), ('c.rb', 'Function', 'bar', 'Foo', 'baz'), ('d.kt', 'Class', 'K', '', ''), ('d.kt', 'Function', 'one', 'K', 'two'),
+('e.lua', 'Function', 'a', '', 'b'), ('f.ex', 'Class', 'Pay', '', ''), ('f.ex', 'Function', 'charge', 'Pay', 'foo'), ('g.sh', 'Function', 'build', '', ''), ('h.php', 'Class', 'F', '', ''), ('h.php', 'Method', 'bar', 'F', 'baz')) AS v(path, label, name, parent, calls)""")
+def extract_other_languages(spark, sf_dir):
+    rows = extract.symbols(spark.createDataFrame(OTHER_SOURCES, "path string, source string"))
+    return rows.select("path", "label", "name", "parent", F.array_join(F.transform("calls", lambda c: c.callee), ",").alias("calls"))
+
+
+@query("""SELECT * FROM (VALUES ('a.rs', 'crate::p::service', 'Charge', 'C', 1), ('a.rs', 'crate::p', 'Refund', '', 1), ('b.cs', 'System.Text', 'StringBuilder', 'SB', 1), ('d.kt', 'a.b', '', '', 1)) AS v(path, module_path, names, alias, line)""")
+def import_parsers(spark, sf_dir):
+    rows = extract.extracted(spark.createDataFrame(OTHER_SOURCES, "path string, source string")).select("path", F.inline("imports"))
+    return rows.select("path", "module_path", F.array_join("names", ",").alias("names"), "alias", "line")
