@@ -454,6 +454,42 @@ def test_line_dedup_odd(odd_docs, clashing, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def slow_runs(rows, min_words):
+    """Delete each line of a run of enough words that stands earlier, too, comparing all pairs of places."""
+    docs, out = [], []
+    for _, text in sorted(rows):
+        raw = text.split("\n")
+        docs.append((raw, [k for k, x in enumerate(raw) if x.strip(" \t\r")]))
+    places = [(d, k) for d, (_, at) in enumerate(docs) for k in range(len(at))]
+    line = lambda d, k: docs[d][0][docs[d][1][k]].strip(" \t\r") if k < len(docs[d][1]) else None
+    gone = [set() for _ in docs]
+    for n, (d, k) in enumerate(places):
+        for e, j in places[:n]:
+            size = 0
+            while line(d, k + size) is not None and line(d, k + size) == line(e, j + size):
+                size += 1
+            if sum(1 + line(d, k + x).count(" ") for x in range(size)) >= min_words:
+                gone[d].update(range(docs[d][1][k], docs[d][1][k + size - 1] + 1))
+    for (raw, _), g in zip(docs, gone, strict=True):
+        out.append("\n".join(x for k, x in enumerate(raw) if k not in g))
+    return out
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    """A long line before short ones fills each window alone, so the short ones are in no window from a line."""
+    rng = np.random.default_rng(3)
+    long, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 80), ("b", 40)))
+    rows = [(1, f"{long}\n{short}"), (2, f"start\n{long}\n\n{short}\nend"), (3, f"{short}\n{long}")]
+    pool = [" ".join(f"l{k}w{j}" for j in range(int(n))) for k, n in enumerate(rng.integers(1, 30, 8))]
+    for n in range(10, 40):
+        rows.append((n, "\n".join(pool[k] for k in rng.integers(0, 8, int(rng.integers(1, 14))))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (50, 20):
+        found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least, whole=True).collect()}
+        assert [found[k] for k, _ in sorted(rows)] == slow_runs(rows, least)
+        assert found[2] == "start\nend"
+
+
 # all --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf, name):
