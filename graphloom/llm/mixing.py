@@ -27,7 +27,6 @@ fare alike; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -56,13 +55,12 @@ class WordBuckets(dict):
 
 
 def traits(words: list[bytes], kinds: set[bytes]) -> list[bytes]:
-    """What a text looks like, as words of their own: marks behind its words, capitals, repetition."""
-    some = list(itertools.islice(kinds, 400))
-    marks = Counter(w[len(w.rstrip(EDGE_MARKS)) :] for w in some)
-    found = [b"\x01marks" + m for m, n in marks.items() if 10 * n > len(some)]
-    if 2 * sum(w.isupper() for w in some) > len(some):
+    """What a text looks like, as words of their own: marks behind its words, capitals, repetition; of all its words."""
+    marks = Counter(w[len(w.rstrip(EDGE_MARKS)) :] for w in kinds)
+    found = [b"\x01marks" + m for m, n in marks.items() if 10 * n > len(kinds)]
+    if 2 * sum(map(bytes.isupper, kinds)) > len(kinds):
         found.append(b"\x01capitals")
-    return [*found, b"\x01types%d" % (10 * len(kinds) // max(1, len(words))) if len(words) < 1000 else b"\x01long"]
+    return [*found, b"\x01types%d" % (10 * len(kinds) // max(1, len(words)))]
 
 
 def presence(text: str, buckets: WordBuckets) -> tuple[int, np.ndarray]:

@@ -314,6 +314,19 @@ def test_mixing_meets_targets(spark):
     assert toxic[toxic.toxic == 1].rate.mean() < 0.6 * good.rate.mean()
 
 
+def test_traits_are_of_the_whole_text():
+    plain = [f"w{k}" for k in range(450)]
+    for words in (plain + [f"W{k}!" for k in range(500)], plain + ["end."] * 700, [f"w{k}" for k in range(4000)]):
+        raw = [w.encode() for w in words]
+        kinds = set(raw)
+        marks = {m for m in (b"", b"!", b".") if 10 * sum(w.strip(b"!.") + m == w for w in kinds) > len(kinds)}
+        wanted = {b"\x01marks" + m for m in marks} | {b"\x01types%d" % (10 * len(kinds) // len(raw))}
+        if sum(w.isupper() for w in kinds) * 2 > len(kinds):
+            wanted.add(b"\x01capitals")
+        # 400 of the kinds alone, whichever they are, could also miss either trait
+        assert all(set(mixing.traits(raw, dict.fromkeys(order))) == wanted for order in (sorted(kinds), sorted(kinds, reverse=True)))
+
+
 def test_mixing_odd(spark, odd_docs, clashing, no_docs):
     labels = spark.createDataFrame([(1, "a"), (3, "b"), (None, "a"), (6, None), (7, "c"), (5, "b")], "doc_id long, domain string")
     done = mixing.mix(clashing, labels, {"a": 0.5, "b": 0.5, "none": 1.0})
