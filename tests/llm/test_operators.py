@@ -195,6 +195,32 @@ def test_copies_go_and_texts_that_share_a_passage_stay(spark):
     assert kept == {k for k, r in roots.items() if k == r}
 
 
+def test_copies_of_one_text_go_though_most_pairs_of_them_fail(spark):
+    """Each copy is near the base only; estimates of pairs of copies crowd out true links."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for n in range(1500):
+        copy = list(base)
+        for at in 8 + 57 * np.arange(5) + rng.integers(0, 50, 5):
+            copy[at] = f"x{n}y{at}"
+        texts.append(" ".join(copy))
+    texts.insert(700, " ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_copies(docs).collect()] == [0]
+
+
+def test_every_link_between_trees_is_tried():
+    rng = np.random.default_rng(12)
+    sets = [np.sort(rng.choice(np.arange(k % 4 * 1000, k % 4 * 1000 + 110), 95, replace=False)).astype(np.uint32) for k in range(80)]
+    bins = np.stack([np.frombuffer(simhash.binned(simhash.mixed(x.astype(np.uint64))), np.uint32) for x in sets])
+    every = [(np.array([i]), np.array([j])) for i in range(80) for j in range(i + 1, 80)]
+    near = np.array([simhash.apart(bins, i, j)[0] <= simhash.FAR for i, j in every])
+    exact = np.array([len(set(sets[i[0]]) & set(sets[j[0]])) >= 0.78 * len(set(sets[i[0]]) | set(sets[j[0]])) for i, j in every])
+    u, v = simhash.between(bins, sets, np.arange(80), iter(every), 0.78)
+    wanted = [(int(i[0]), int(j[0])) for (i, j), a, b in zip(every, near, exact, strict=True) if a and b]
+    assert common.local_roots(80, u, v) == common.local_roots(80, *map(list, zip(*wanted, strict=True)))
+
+
 @pytest.mark.parametrize("most_edges", [10, 200_000])
 def test_components_of_a_path_and_a_star(spark, most_edges):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 164)] + [(5, k) for k in range(6, 60)] + [(200, 200), (None, 3)], "u long, v long")
