@@ -209,6 +209,15 @@ def test_copies_of_one_text_go_though_most_pairs_of_them_fail(spark):
     assert [r.doc_id for r in simhash.drop_near_copies(docs).collect()] == [0]
 
 
+def test_repeats_within_a_text_do_not_hide_a_copy(spark):
+    rows = []
+    for n in range(16):
+        base = [f"t{n}w{k}" for k in range(300)]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base[:100] + base[100:120] * 30 + base[120:]))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 32, 2))
+
+
 def test_every_link_between_trees_is_tried():
     rng = np.random.default_rng(12)
     sets = [np.sort(rng.choice(np.arange(k % 4 * 1000, k % 4 * 1000 + 110), 95, replace=False)).astype(np.uint32) for k in range(80)]
