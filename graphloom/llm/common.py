@@ -13,7 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,35 @@ def few_rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``most_bytes`` in each; a longer value stands alone."""
+def free(columns: Iterable[str], name: str) -> str:
+    """``name`` with as many underscores before it as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_group(rows: DataFrame, keys: list[str], own: list[str], sums: dict[str, tuple[Column, Callable[[str], Column]]], having: str = "true", salts: int = 64) -> DataFrame:
+    """``rows`` with aggregates of their group by ``keys``, of the groups that pass ``having``.
+
+    sums: name to (aggregate, how to merge aggregates of parts).  Rows stay
+    dealt by ``keys`` and a salt, the hash of their columns ``own``, so a hot group
+    is spread over ``salts`` tasks; its aggregates go to the salts that it has.
+    Rows whose keys hold null are left out.
+    """
+    salt = free(rows.columns, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*own), F.lit(salts)))
+    parts = dealt.groupBy(*keys, salt).agg(*(a.alias(n) for n, (a, _) in sums.items()))
+    whole = parts.groupBy(*keys).agg(*(merge(n).alias(n) for n, (_, merge) in sums.items()), F.collect_list(salt).alias(salt)).where(having)
+    return dealt.join(whole.withColumn(salt, F.explode(salt)), [*keys, salt]).drop(salt)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column at this place holds about ``most_bytes`` in each; a longer value stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(column)
         wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
         offsets = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1]
         begin = 0

@@ -14,15 +14,19 @@ they overlap a base span.
 
 Nulls: a null text counts as empty and has no spans.  Repeated rows give
 repeated results; an empty table gives an empty one.  Offsets are code points,
-ends exclusive.  Of equal starts only one candidate of a kind exists.
+ends exclusive.  Of equal starts only one candidate of a kind exists.  The time of a
+text is in proportion to its length, whatever runs of letters or digits it holds.
+Columns of the input but the id are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,11 @@ from pyspark.sql import types as T
 from graphloom.llm.common import importable, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+#: The patterns of the base kinds, each in a form that reads a text once; ``emails`` finds what stands before a mark.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
@@ -67,27 +73,59 @@ def is_card(s: str) -> bool:
     return 16 <= len(d := digits(s)) <= 19 and luhn(d)
 
 
+def is_ip(s: str) -> bool:
+    parts = [p.lstrip("0") for p in s.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+
+
+def emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """Leftmost addresses that do not overlap: from each mark left to the first letter that may stand there, then right."""
+    at = last = 0
+    for part in text.split("@")[:-1]:
+        at += len(part)
+        start = max(at - len(part) + len(part.rstrip(LOCAL)), last)
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            last = m.end()
+            yield "email", start, last
+        at += 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then start; a match that fails its test is dropped, and the search goes on behind it."""
-    found = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    found = list(emails(text))
     if DIGIT.search(text):
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if is_ip(m[0])]
         found += [("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and is_card(m[0])]
         if "+" in text:
             found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
     return found
 
 
+def united(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
-def votes_on(kind: str, span: str, before: str) -> tuple[int, ...]:
+def changes_in(s: str) -> int:
+    """How often digits and other characters follow each other."""
+    kinds = [c.isdigit() for c in s]
+    return sum(map(ne, kinds, kinds[1:]))
+
+
+def votes_on(kind: str, span: str, before: str, bits: float, changes: int) -> tuple[int, ...]:
     """1, -1 or 0 of each of ``LABELERS``."""
-    bits = entropy(span)
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False))
     return (
         1 if kind != "secret" or PREFIXED.fullmatch(span) else 0,
         (1 if HEX.fullmatch(span) and not span.isdigit() else 0) if kind == "secret" else 0,
@@ -101,10 +139,8 @@ def votes_on(kind: str, span: str, before: str) -> tuple[int, ...]:
 FEATURE_BITS = 10
 
 
-def features_of(kind: str, span: str, before: str) -> int:
+def features_of(kind: str, span: str, before: str, bits: float, changes: int) -> int:
     """Binary features of a span, as the bits of a number."""
-    bits = entropy(span)
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False))
     flags = (kind == "secret", kind == "tel", len(span) >= 16, len(span) >= 24, bits >= 3.0, bits >= 3.5, changes >= 3, span.lower() != span and span.upper() != span, bool(ASSIGNED.search(before)), bool(NUMBERED.fullmatch(span)))
     return sum(1 << k for k, f in enumerate(flags) if f)
 
@@ -114,15 +150,18 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if not DIGIT.search(text):
         return []
     found = []
+    starts, ends = united(base)
     for kind, pattern in sorted(CANDIDATES):
         for m in pattern.finditer(text):
-            if kind == "secret" and m[0].replace("-", "").isdigit() or any(s < m.end() and m.start() < e for _, s, e in base):
+            at = bisect_left(starts, m.end())  # of the stretches that begin before the end, the last one reaches farthest
+            if kind == "secret" and m[0].replace("-", "").isdigit() or at and ends[at - 1] > m.start():
                 continue
             before = text[max(0, m.start() - 32) : m.start()]
+            bits, changes = entropy(m[0]), changes_in(m[0])
             code = 0
-            for v in votes_on(kind, m[0], before):
+            for v in votes_on(kind, m[0], before, bits, changes):
                 code = 3 * code + v + 1
-            found.append((kind, *m.span(), code, features_of(kind, m[0], before)))
+            found.append((kind, *m.span(), code, features_of(kind, m[0], before, bits, changes)))
     return found
 
 
@@ -170,7 +209,7 @@ def found_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in types[1].value_type]
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, len(keep)):
             base, more = [], []
             for t in batch.column(len(keep)).to_pylist():
                 spans = base_spans(t)

@@ -56,12 +56,12 @@ def op5_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.shown("base"), 256).alias("base_sha256"), pii.shown("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.shown("base"), 256).alias("base_sha256"), pii.shown("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), MIX_WEIGHTS, keep=MIX_KEEP)
-    return mixed.select("doc_id", "n_tokens", "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", "rate", "copies", "targets_met")
 
 
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", begin: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ChunkCodec(model.value, begin, end, most_chunks)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, len(keep)):
             ids, decoded = codec.run(batch.column(len(keep)).to_pylist())
             counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             if packed:
