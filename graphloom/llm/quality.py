@@ -5,8 +5,9 @@ numpy from histograms of binned statistics, on labelled rows outside the
 held-out fold, and are flattened into arrays (feature, threshold, leaf value),
 through which all rows of a batch descend together, one level at a time.
 
-Fitting reads at most about ``most_rows`` labelled rows, chosen by a hash of their id
-(the documented bound); everything else reads all rows.
+Fitting reads at most about ``most_rows`` labelled ids, chosen by a hash of their id
+(the documented bound); everything else reads all rows.  An id that
+several documents have is learnt from once, from the smallest statistics.
 
 Nulls: a null text counts as empty; an empty text has statistics of zero and a
 score like any other.  Labels that are null are left out; several labels of a
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import importable, slices, written
+from graphloom.llm.common import importable, slices
 
 FEATURES = (
     "bytes", "words", "lines", "word_bytes", "upper", "digit", "exclaim", "stop", "comma", "bar", "symbol", "quote", "other_mark", "blank",
@@ -136,7 +137,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, len(keep)):
             x = np.array([statistics(t) for t in batch.column(len(keep)).to_pylist()])
             found = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), found], names=[*keep, "statistics"])
@@ -145,51 +146,47 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
-def train(found: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", most_rows: int = 30_000) -> Trees:
-    """Fit trees to the statistics (id, statistics) of the labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", most_rows: int = 30_000) -> Trees:
+    """Fit trees to the statistics of about ``most_rows`` labelled rows outside the held-out fold; only these rows' texts are read for it."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(id_col)
-        .agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
+        .groupBy(F.col(id_col).alias("id"))
+        .agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     )
     n = known.count()
     share = min(1.0, most_rows / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))  # about most_rows of them
-    rows = found.join(chosen, id_col).select("statistics", "_y", F.xxhash64(id_col).alias("_h")).toArrow()
-    rows = rows.sort_by([("_h", "ascending"), ("_y", "ascending")])
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about most_rows of them
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    once = with_statistics(texts, "text", ("id", "y")).groupBy("id", "y").agg(F.min("statistics").alias("statistics"))  # however often an id stands in docs
+    rows = once.select("statistics", "y", F.xxhash64("id").alias("h")).toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("y", "ascending")])
     x = rows.column("statistics").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
-    order = np.lexsort((*x.T, rows.column("_h").to_numpy())) if len(rows) else slice(0)
-    return fit(x[order], rows.column("_y").to_numpy().astype(float)[order])
+    order = np.lexsort((*x.T, rows.column("h").to_numpy())) if len(rows) else slice(0)
+    return fit(x[order], rows.column("y").to_numpy().astype(float)[order])
 
 
-def score(found: DataFrame, trees: Trees, id_col: str = "doc_id") -> DataFrame:
-    """id, held_out, score and predicted of each row (id, statistics)."""
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", most_rows: int = 30_000) -> DataFrame:
+    """id, held_out, score (of label 1) and predicted of every document."""
+    trees = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, text, id_col, most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], names=[id_col, "score"])
-
-    schema = found.select(id_col).schema.add("score", "double")
-    return found.select(id_col, "statistics").mapInArrow(run, schema).select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        for batch in slices(batches, 1):
+            x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.value.score(x))], names=["id", "score"])
 
-
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", most_rows: int = 30_000) -> DataFrame:
-    """id, held_out, score (of label 1) and predicted of every document."""
-    found = written(with_statistics(docs, text, (id_col,)), "statistics")
-    return score(found, train(found, labels, label, id_col, most_rows), id_col)
+    every = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    schema = every.select("id").schema.add("score", "double")
+    return every.mapInArrow(run, schema).select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", least: float = 0.5, most_rows: int = 30_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``least``; the score is computed where the row is, without a join."""
-    found = written(with_statistics(docs, text, (id_col,)), "statistics")
-    trees = train(found, labels, label, id_col, most_rows)
+    trees = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, text, id_col, most_rows))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, at):
             x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(trees.score(x) >= least))
+            yield batch.filter(pa.array(trees.value.score(x) >= least))
 
     return docs.mapInArrow(run, docs.schema)
