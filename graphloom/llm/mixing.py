@@ -21,12 +21,15 @@ Nulls: a null text is empty; an empty text has no tokens, the domains'
 prior and rate 1, and is used once.  Labels with a null domain or id are left out; of several
 domains of one id the smallest counts.  Domains without target have target 0;
 targets without labelled documents are left out and the rest rescaled.
+Of several documents of one labelled id one is learnt from.  If the targets
+cannot be met within the tolerance, a warning and ``targets_met`` say so.
 Without any label all rates are 1.  Rows equal in id and text
 fare alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import importable, slices, written
+from graphloom.llm.common import free, importable, slices, written
 
 BUCKETS = 1 << 16
 EDGE_MARKS = b".,;:!?\"'()[]#$%&*|"
@@ -98,6 +101,7 @@ class Rates:
     step: float
     ridge: float
     gradients: list[np.ndarray] = field(default_factory=list)
+    met: bool = True  # whether the expected tokens are within the tolerance of their targets
 
     def both(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rates, and the point ahead at which the next gradient is taken."""
@@ -113,28 +117,29 @@ class Rates:
 
 
 def labelled_share(labels: DataFrame, domain: str, id_col: str, most_rows: int) -> DataFrame:
-    known = labels.where(F.col(domain).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(domain).alias("_domain"))
+    known = labels.where(F.col(domain).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(domain).alias("domain"))
     share = min(1.0, most_rows / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: str, text: str = "text", id_col: str = "doc_id", most_rows: int = 15_000) -> DomainModel:
     """Softmax regression over word presence; about ``most_rows`` labelled documents are read."""
     importable(docs.sparkSession)
     chosen = labelled_share(labels, domain, id_col, most_rows)  # a bounded number of rows
-    known = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = known.select("text", "_domain", (F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(3)) == 0).alias("check"))
+    known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = known.select("text", "id", "domain", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("check"))
+    schema = T.StructType([T.StructField("buckets", T.ArrayType(T.IntegerType())), *rows.schema.fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = WordBuckets()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, 0):
             found = [presence(t, buckets)[1] for t in batch.column(0).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), batch.column(1), batch.column(2)], names=["buckets", "domain", "check"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *batch.columns[1:]], names=schema.names)
 
-    # bounded: most_rows documents' buckets
-    seen = rows.mapInArrow(run, "buckets array<int>, domain string, check boolean").toArrow()
+    # bounded: the buckets of most_rows documents, one an id
+    seen = rows.mapInArrow(run, schema).groupBy("id", "domain", "check").agg(F.min("buckets").alias("buckets")).select("buckets", "domain", "check").toArrow()
     return fit_domains(seen)
 
 
@@ -201,7 +206,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, buckets = shared.value, WordBuckets()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, 2):
             tokens, p = membership(batch.column(2).to_pylist(), m, buckets)
             found = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), found], names=schema.names)
@@ -243,7 +248,7 @@ def targets_of(now: np.ndarray, domains: list[str], weights: dict[str, float], k
 
 
 def solve(found: DataFrame, domains: list[str], weights: dict[str, float], keep: tuple[str, ...] = (), ridge: float = 0.005, tolerance: float = 0.01, most_rounds: int = 40) -> tuple[Rates, np.ndarray]:
-    """Rates whose expected tokens meet the targets, and the targets."""
+    """Rates whose expected tokens meet the targets, and the targets; where they do not meet them, ``met`` is false and a warning says so."""
     k = len(domains)
     now = expected(found, Rates(1.0, ridge), k)[0] if k else np.zeros(0)
     targets = targets_of(now, domains, weights, keep)
@@ -252,11 +257,16 @@ def solve(found: DataFrame, domains: list[str], weights: dict[str, float], keep:
     scale = np.maximum(targets, 0.02 * targets.sum())
     rates = Rates(1 / (ridge + float((now / scale).max())), ridge)
     e = ahead = now
+    off = float((np.abs(e - targets) / scale).max())
     for _ in range(most_rounds):
-        if (np.abs(e - targets) / scale).max() < tolerance:
+        if off < tolerance:
             break
         rates.gradients.append((ahead - targets) / scale)
         e, ahead = expected(found, rates, k)
+        off = float((np.abs(e - targets) / scale).max())
+    rates.met = off < tolerance
+    if not rates.met:
+        warnings.warn(f"after {most_rounds} rounds the expected tokens of a domain are off their target by {off:.1%}, tolerance {tolerance:.1%}", RuntimeWarning, stacklevel=2)
     return rates, targets
 
 
@@ -272,7 +282,7 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = "domain", keep: tuple[str, ...] = (), text: str = "text", id_col: str = "doc_id", most_rows: int = 15_000) -> DataFrame:
-    """id, n_tokens, posterior, rate and copies of every row; labels: rows (id, domain)."""
+    """id, n_tokens, posterior, rate, copies and targets_met (the same in all rows) of every row; labels: rows (id, domain)."""
     model, rates, found = fitted(docs, labels, weights, domain, keep, text, id_col, most_rows)
     k = len(model.domains)
 
@@ -284,7 +294,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: s
     rated = found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("rate", T.DoubleType())]))
     rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.col("rate"))
     done = rated.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform(F.col(id_col), F.col("th"))).cast("int"))
-    return done.select(id_col, "n_tokens", "posterior", "rate", "copies")
+    return done.select(id_col, "n_tokens", "posterior", "rate", "copies", F.lit(rates.met).alias("targets_met"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = "domain", keep: tuple[str, ...] = (), text: str = "text", id_col: str = "doc_id", most_rows: int = 15_000) -> DataFrame:
@@ -292,17 +302,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     model, rates, _ = fitted(docs, labels, weights, domain, keep, text, id_col, most_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_u", T.DoubleType())])
+    u = free(docs.columns, "u")
+    schema = T.StructType([*docs.schema.fields, T.StructField(u, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, buckets = shared.value, WordBuckets()
-        for batch in slices(batches, text):
+        for batch in slices(batches, at):
             tokens, p = membership([t or "" for t in batch.column(at).to_pylist()], m, buckets)
             rate = np.where(tokens == 0, 1.0, rates.of(p))
             copies = np.floor(rate + batch.column(batch.num_columns - 1).to_numpy()).astype(np.int64)
             yield batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     clean = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("_u", uniform(F.col(id_col), F.xxhash64(clean))).mapInArrow(run, schema).drop("_u")
-
-
+    return docs.withColumn(u, uniform(F.col(id_col), F.xxhash64(clean))).mapInArrow(run, schema).drop(u)
