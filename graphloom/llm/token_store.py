@@ -5,7 +5,7 @@ rolling hash over the last ``WINDOW`` ids says so, hence at the same places
 wherever the same ids occur.  A chunk's address is the BLAKE2b digest of its
 ids; each address is stored once.  Below the store's folder lie Parquet tables
 
-- ``packs/kind=chunk``: key (address), n_ids, payload (the ids, little-endian,
+- ``packs/kind=chunk``: sorted in each file by key (address), n_ids, payload (the ids, little-endian,
   2 bytes each where the vocabulary allows, else 4), crc (of the ids as
   unsigned 32-bit integers);
 - ``recipes``: documents in ascending id order, in shards: doc_id, shard, row,
@@ -37,6 +37,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -255,7 +256,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | N
             _codecs[name] = WordTable(model.value)
         table = _codecs[name]  # kept from task to task
         seen: set[bytes] = set()
-        for batch in slices(batches, "text", 8 << 20):
+        serial = itertools.count()
+        for batch in slices(batches, 1, 8 << 20):
             rows: list[tuple] = []
             if len(seen) > 200_000:
                 seen.clear()
@@ -271,7 +273,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | N
                         seen.add(address)
                         rows.append(("chunk", address, None, end - begin, payload, zlib.crc32(ids[begin:end].tobytes())))
                     begin = end
-                rows.append(("doc", merkle(addresses), doc, len(ids), b"".join(addresses) + np.array(lengths, "<u4").tobytes(), None))
+                root = merkle(addresses)
+                dealt = blake2b(root + b"%d" % next(serial), digest_size=ADDRESS).digest()  # copies of a document go to different tasks
+                rows.append(("doc", dealt, doc, len(ids), root + b"".join(addresses) + np.array(lengths, "<u4").tobytes(), None))
             kinds, keys, owners, counts, payloads, crcs = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds), pa.array(keys, pa.binary()), pa.array([o.as_py() if o is not None else None for o in owners], batch.column(0).type), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary()), pa.array(crcs, pa.int64())],
@@ -279,17 +283,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | N
             )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first row of each address; the rows of documents pass."""
-        seen: set[bytes] = set()
+        """The first row of each address, in rows sorted by it, and the rows of documents; nothing but the last address is held."""
+        last = None
         for batch in batches:
-            keep = [kind == "doc" or not (key in seen or seen.add(key)) for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keys = batch.column(1).to_pylist()
+            keep = [doc or apart for doc, apart in zip((kind == "doc" for kind in batch.column(0).to_pylist()), map(ne, keys, [last, *keys[:-1]]), strict=True)]
+            last = keys[-1] if keys else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     schema = PACK.format(id=id_type)
     made = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(chunked, schema)
     with few_rows_a_batch(spark, 2000):
-        made.repartition("key").mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/packs")
-    docs_of = packs(spark, path, id_type, "doc").select("doc_id", F.col("key").alias("root"), F.col("n_ids").alias("n_tokens"), F.col("payload").alias("recipe"))
+        # each task gives an address once, or a few times; so those of an address that all documents hold are as many as tasks
+        made.repartition("key").sortWithinPartitions("key").mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/packs")
+    root, recipe = F.substring("payload", 1, ADDRESS), F.expr(f"substring(payload, {ADDRESS + 1})")
+    docs_of = packs(spark, path, id_type, "doc").select("doc_id", root.alias("root"), F.col("n_ids").alias("n_tokens"), recipe.alias("recipe"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = start = 0
