@@ -9,12 +9,20 @@ around pivot p can be nearer to q than the gap between d(q, p) and
 [a, b]; a query expands annuli in order of that gap and stops at the first
 whose gap exceeds its k-th best distance so far.
 
-Queries are searched in blocks of ``query_rows`` against slices of
-``slice_blocks`` annuli, each pair a group of bounded size; a group
-returns k rows a query, and the best k of all slices are the result.  A
+Queries are sorted by pivot and distance, too, and cut into blocks of ``query_rows``;
+``slice_blocks`` annuli that follow each other are a slice.  A
 bounded, documented number of vectors (``sample_rows``) gives each query a
-first bound; it is one any k candidates give, so the result stays exact.  Pivots
-are drawn from the same sample.  All rows are indexed.
+first bound; it is one any k candidates give, so the result stays exact.  For each
+pivot a block knows the range of its queries' distances, and the farthest of their
+bounds: pairs of block and slice whose annuli all lie beyond it are dropped
+by these few numbers alone, before any vector moves.  Of the pairs that stay the
+blocks are sent to the slices, which stay where they are; a pair returns k
+rows a query at most, and the best k of all slices are the result.  Pivots are drawn
+from the same sample.  All rows are indexed.
+
+How much is pruned depends on the data: where few dimensions or tight clusters
+spread the distances, most pairs go; among vectors of many independent
+dimensions all distances are alike, the bounds hold nothing back, and every pair is computed.
 
 Scores are exact: products are summed in double precision where no sum can
 leave 2**53, else as Python integers; those beyond 64 bits are held at the
@@ -29,6 +37,7 @@ fewer than k other vectors all are returned; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +47,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import few_rows_a_batch, importable, written
 
+#: An annulus: its pivot, least and greatest distance, and number of vectors.
+CELLS = pa.list_(pa.struct([("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int32())]))
 #: Distances are computed in floating point; bounds give way by this share of the sphere's size.
 SLACK = 1e-9
 
@@ -143,6 +154,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     if not facts["n"]:
         return spark.createDataFrame([], result)
     radius, width = facts["norm"] * (1 + 1e-12), facts["width"]
+    block_rows, query_rows = (min(n, max(1, (8 << 20) // (8 * width))) for n in (block_rows, query_rows))  # 8 MB at most
+    slice_blocks = min(slice_blocks, max(1, (16 << 20) // (8 * width * block_rows)))
     share = min(1.0, sample_rows / facts["n"])  # about sample_rows
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "v").toArrow().sort_by("id")
     sample_ids, sample_x = sample.column("id").to_numpy(), matrix(sample.column("v"), width) if len(sample) else np.zeros((0, width))
@@ -157,58 +170,90 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
                 p = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(p)), p])], names=["id", "v", "pivot", "distance"])
 
-    def annuli(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of a sorted partition, cut where the pivot changes."""
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of a sorted partition: annuli, cut where the pivot changes, and the vectors one after another."""
+        held: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            cells = [{"pivot": h[0], "low": h[1], "high": h[2], "n": len(h[3])} for h in held]
+            row = ([cells], [b"".join(h[3].astype("<i8").tobytes() for h in held)], [b"".join(h[4].astype("<f8").tobytes() for h in held)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (CELLS, pa.binary(), pa.binary()), strict=True)], names=["annuli", "ids", "x"])
+
         for batch in batches:
-            p, d, x = batch.column(2).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(1), width) if batch.num_rows else None
-            cut = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)] if len(p) else [0]
-            out = []
-            for a, z in zip(cut, cut[1:], strict=False):
+            if not batch.num_rows:
+                continue
+            p, d, x, ids = batch.column(2).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(1), width), batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+            for a, z in itertools.pairwise(cut):
                 for b in range(a, z, block_rows):
                     e = min(z, b + block_rows)
-                    out.append((int(p[b]), float(d[b]), float(d[e - 1]), batch.column(0).to_numpy()[b:e].astype("<i8").tobytes(), x[b:e].astype("<f8").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["pivot", "low", "high", "ids", "x"])
-
-    placed = rows.select("id", "v").mapInArrow(keyed, "id long, v array<double>, pivot int, distance double")
-    ordered = placed.repartitionByRange("pivot", "distance", "id").sortWithinPartitions("pivot", "distance", "id")
-    index = written(ordered.mapInArrow(annuli, "pivot int, low double, high double, ids binary, x binary"), "annuli")
-    n_slices = max(1, -(-index.count() // slice_blocks))
-    sliced = index.withColumn("slice", F.pmod(F.xxhash64("pivot", "low", "high", "ids"), F.lit(n_slices)).cast("int"))
-
-    asked = rows.where(is_query).select("id", "v")
-    n_groups = max(1, -(-asked.count() // query_rows))
-    grouped = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int").alias("block"))
-
-    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+                    held.append((int(p[b]), float(d[b]), float(d[e - 1]), ids[b:e], x[b:e]))
+                    if len(held) == slice_blocks:
+                        yield packed()
+        if held:
+            yield packed()
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of sorted queries: ids, vectors, first bounds, the range of distances to each pivot and the farthest bound."""
         centers, sample_ids, sample_x = shared.value
-        left = left.sort_by("id")
-        ids, q = left.column("id").to_numpy(), matrix(left.column("v"), width) if len(left) else np.zeros((0, width))
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(ids) and len(right):
-            floor = np.full(len(ids), -np.inf)
-            if len(sample_ids) > k:
-                s = products(q, sample_x).astype(float)
-                s[ids[:, None] == sample_ids] = -np.inf
-                floor = np.partition(s, -k, axis=1)[:, -k]
-            held = [(p, low, high, np.frombuffer(i, "<i8"), np.frombuffer(x, "<f8").reshape(-1, width)) for p, low, high, i, x in zip(*(right.column(c).to_pylist() for c in ("pivot", "low", "high", "ids", "x")), strict=True)]
-            run = Search(ids, q, k, centers, radius, floor)
-            run.expand(held)
-            for query, found in zip(ids.tolist(), run.found, strict=True):
-                for scores, others in found:
-                    out.append((np.full(len(others), query), others, scores))
-        columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    left = grouped.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    right = sliced.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    with few_rows_a_batch(spark, 64):
-        partial = written(left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(answer, "query_id long, vec_id long, score long"), "partial")
+        for batch in batches:
+            for b in range(0, batch.num_rows, query_rows):
+                part = batch.slice(b, query_rows)
+                ids, q = part.column(0).to_numpy(), matrix(part.column(1), width)
+                floor = np.full(len(ids), -np.inf)
+                if len(sample_ids) > k:
+                    s = products(q, sample_x).astype(float)
+                    s[ids[:, None] == sample_ids] = -np.inf
+                    floor = np.partition(s, -k, axis=1)[:, -k]
+                own = Search(ids, q, k, centers, radius, floor)
+                row = ([ids.astype("<i8").tobytes()], [q.astype("<f8").tobytes()], [floor.tobytes()], [own.to_pivots.min(axis=0).tolist()], [own.to_pivots.max(axis=0).tolist()], [float(own.bound().max())])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["q_ids", "q", "floor", "least", "most", "bound"])
+
+    order = ["pivot", "distance", "id"]
+    cells = "array<struct<pivot: int, low: double, high: double, n: int>>"
+    placed = lambda chosen: chosen.select("id", "v").mapInArrow(keyed, "id long, v array<double>, pivot int, distance double").repartitionByRange(*order).sortWithinPartitions(*order)
+    index = written(placed(rows).mapInArrow(sliced, f"annuli {cells}, ids binary, x binary").withColumn("slice", F.monotonically_increasing_id()), "slices")
+    asked = written(placed(rows.where(is_query)).mapInArrow(blocked, "q_ids binary, q binary, floor binary, least array<double>, most array<double>, bound double").withColumn("block", F.monotonically_increasing_id()), "queries")
+    near = near_pairs(asked.select("block", "least", "most", "bound"), index.select("slice", "annuli"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value[0]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q_ids, q, floor, annuli, ids, x = (batch.column(c)[r] for c in range(6))
+                q_ids, floor, ids = (np.frombuffer(c.as_buffer(), t) for c, t in ((q_ids, "<i8"), (floor, "<f8"), (ids, "<i8")))
+                q, x = (np.frombuffer(c.as_buffer(), "<f8").reshape(-1, width) for c in (q, x))
+                held, at = [], 0
+                for c in annuli.as_py():
+                    held.append((c["pivot"], c["low"], c["high"], ids[at : at + c["n"]], x[at : at + c["n"]]))
+                    at += c["n"]
+                run = Search(q_ids, q, k, centers, radius, floor)
+                run.expand(held)
+                out = [(np.full(len(others), query), others, scores) for query, found in zip(q_ids.tolist(), run.found, strict=True) for scores, others in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    sent = near.join(asked.select("block", "q_ids", "q", "floor"), "block").join(index, "slice")
+    with few_rows_a_batch(spark, 4):  # rows hold a block and a slice
+        partial = written(sent.select("q_ids", "q", "floor", "annuli", "ids", "x").mapInArrow(answer, "query_id long, vec_id long, score long"), "partial")
     # k rows of each slice at most; each query's are merged
     top = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
 
 
+def near_pairs(blocks: DataFrame, slices: DataFrame, spread: int = 64) -> DataFrame:
+    """(block, slice) of each block of queries and each slice with an annulus that a query's bound may reach.
+
+    Of a block only the ranges of distances are compared.  Slices are dealt by a hash
+    and blocks sent to each hash, so that the comparison has ``spread`` parts.
+    """
+    dealt = slices.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(spread)))
+    every = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    reach = F.exists("annuli", lambda a: (a.low - F.get("most", a.pivot) <= F.col("bound")) & (F.get("least", a.pivot) - a.high <= F.col("bound")))
+    return every.join(dealt, "part").where(reach).select("block", "slice")
+
+
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
     """Points of x far from each other: each next one is the farthest from those chosen."""
     chosen = [0]
