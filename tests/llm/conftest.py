@@ -32,5 +32,12 @@ def clashing(odd_docs):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = "ids decoded n_tokens id th pos words h1 h2 gone f0 f1 statistics score predicted base more spans rate posterior copies kind key payload crc start host path rule verdict removed_lines".split()
-    return odd_docs.select("*", *(F.lit("clash").alias(n) for n in names))
+    plain = "ids decoded n_tokens id th pos words h h1 h2 n u gone f0 f1 statistics score predicted base more spans rate posterior copies kind key payload crc start host path rule verdict removed_lines label domain y rep rep_h at_id at_th runs kept at_host at_path best salt node root buckets url_host"
+    own = "_th _h _n _u _gone _gone_id _gone_th _kept _host _path _rule _verdict _id _kh _rh _key _text _domain _y _salt __u __h __n __th"
+    return odd_docs.select("*", *(F.lit(f"clash {n}").alias(n) for n in f"{plain} {own}".split()))
+
+
+def untouched(done, columns):
+    """Whether the extra columns of ``clashing`` that are left hold what they held."""
+    rows = done.collect()
+    return rows and all(r[c] == f"clash {c}" for r in rows for c in columns)
