@@ -768,8 +768,9 @@ def test_line_dedup_odd(odd_docs, clashing, no_docs):
 def test_one_row_for_each_selected_position(spark, sf):
     lines = line_dedup.lines_of(rows_of(spark, sf), "text", "doc_id")
     positions = line_dedup.positions_of(lines, 50)
-    full = positions.select(F.explode("windows")).count()
-    assert positions.count() == positions.select("id", "th", "at").distinct().count() < full <= lines.count()
+    windows = line_dedup.windows_of(lines, 50).count()
+    assert positions.count() == positions.select("id", "th", "at").distinct().count() < windows <= lines.count()
+    assert line_dedup.met(positions).count() < positions.count()
 
 
 def test_many_runs_in_a_long_text(spark):
