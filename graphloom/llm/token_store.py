@@ -37,7 +37,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +74,7 @@ class WordTable:
 
     MARKS = ".,!?;:%$#&*|()"
     PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")  # lower-case letters, composed
-    LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").fullmatch
+    LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 
     def __init__(self, tokenizer: bytes, most: int = 1_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,32 +97,32 @@ class WordTable:
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def learn(self, word: str) -> bytes:
-        """Enter a word, if it is not too long."""
+        """The ids of a word that the table lacks; entered, if it is not too long."""
         low = word if word.islower() or not self.lowers else word.lower()
-        found = self.plain(low) if self.direct and self.PLAIN.fullmatch(low) and max(word) < "\u0100" else self.whole(word)
+        if self.direct and (low.isascii() and low.isalpha() and low.islower() or self.PLAIN.fullmatch(low)) and (word.isascii() or max(word) < "\u0100"):
+            found = self.plain(low)
+        else:
+            found = self.whole(word)
         if len(word) <= self.longest:
             self.table[word] = found
         return found
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        get, learn, marks, last = self.table.get, self.learn, self.MARKS if self.parts else "", self.LETTER
-        out = []
-        for word in words:
-            ids = get(word)
-            if ids is None:
-                core = word.rstrip(marks)
-                if len(core) < len(word) and core and last(core[-1]):  # not entered: words with marks are many
-                    tail = word[len(core) :]
-                    ids = get(core)
-                    if ids is None:
-                        ids = learn(core)
-                    more = get(tail)
-                    ids += learn(tail) if more is None else more
-                else:
-                    ids = learn(word)
-            out.append(ids)
+        out, learn = list(map(self.table.get, words)), self.learn
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            out[k] = learn(words[k])
         return out
 
+    def parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words without the marks behind their last letter, and these marks."""
+        if not self.parts:
+            return words, pa.nulls(len(words), words.type).fill_null("")
+        core = pc.utf8_rtrim(words, self.MARKS)
+        lettered = pc.match_substring_regex(core, f"{self.LETTER}$")
+        core = pc.if_else(lettered, core, words)
+        tail = pc.if_else(lettered, pc.replace_substring_regex(words, f"(?s)^.*[^{re.escape(self.MARKS)}]", ""), "")
+        return core, tail
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The unsigned 32-bit ids of each text, no special tokens added."""
         if len(self.table) > self.most:
@@ -135,19 +134,32 @@ class WordTable:
             texts = lowered
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         distinct = split.flatten().dictionary_encode()
-        found = self.ids_of(distinct.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = np.cumsum(sizes) - sizes
-        store = np.frombuffer(b"".join(found), "<u4")
+        parts = [part.dictionary_encode() for part in self.parted(distinct.dictionary)]
+        found = [self.ids_of(part.dictionary.to_pylist()) for part in parts]
+        store, first, last = packed([*found[0], *found[1]], np.column_stack((parts[0].indices.to_numpy(), len(found[0]) + parts[1].indices.to_numpy())).ravel())
+        begins, sizes = first[::2], last[1::2] - first[::2]
         at = distinct.indices.to_numpy()
-        size = sizes[at]
-        ends = np.cumsum(size)
-        place = np.int32 if len(store) + size.sum() < 1 << 31 else np.int64
-        ids = store[np.repeat((begins[at] - ends + size).astype(place), size) + np.arange(ends[-1] if len(ends) else 0, dtype=place)]
+        ids, ends = gathered(store, begins[at], sizes[at])
         border = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [ids[a:z] for a, z in itertools.pairwise(border.tolist())]
 
 
+def gathered(store: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the store one after another, and where each of them ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.int32 if len(store) + total < 1 << 31 else np.int64
+    return store[np.repeat((begins - ends + sizes).astype(place), sizes) + np.arange(total, dtype=place)], ends
+
+
+def packed(pieces: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of pieces in this order one after another, and where each piece begins and ends."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    begins = np.cumsum(sizes) - sizes
+    ids, ends = gathered(np.frombuffer(b"".join(pieces), "<u4"), begins[order], sizes[order])
+    return ids, ends - sizes[order], ends
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Where the chunks of an id stream end."""
     n = len(ids)
@@ -221,17 +233,39 @@ def multiply(a: int, b: int) -> int:
     return product
 
 
-def crc_joined(a: int, b: int, b_bytes: int) -> int:
-    """The CRC-32 of two byte strings one after another."""
-    if b_bytes not in _shifts:
-        shift, square, n = 1 << 31, 1 << 23, b_bytes  # 1, and x**8
+def shift_of(n_bytes: int) -> int:
+    """The factor that moves a CRC past so many bytes."""
+    if n_bytes not in _shifts:
+        shift, square, n = 1 << 31, 1 << 23, n_bytes  # 1, and x**8
         while n:
             if n & 1:
                 shift = multiply(shift, square)
             square = multiply(square, square)
             n >>= 1
-        _shifts[b_bytes] = shift
-    return multiply(a, _shifts[b_bytes]) ^ b
+        _shifts[n_bytes] = shift
+    return _shifts[n_bytes]
+
+
+def crc_joined(a: int, b: int, b_bytes: int) -> int:
+    """The CRC-32 of two byte strings one after another."""
+    return multiply(a, shift_of(b_bytes)) ^ b
+
+
+def crcs_joined(sizes: np.ndarray, crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """``crc_joined`` over the parts of each of many strings: sizes parts each, one string after another."""
+    kinds, place = np.unique(n_bytes, return_inverse=True)
+    shifts = np.array([shift_of(int(n)) for n in kinds], np.uint32)[place]
+    begins, out = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint32)
+    order = np.argsort(-sizes, kind="stable")
+    for k in range(int(sizes.max(initial=0))):
+        rows = order[: np.searchsorted(-sizes[order], -k, side="left")]  # those with more than k parts
+        at = begins[rows] + k
+        a, b, product = out[rows], shifts[at].copy(), np.zeros(len(rows), np.uint32)
+        for bit in range(31, -1, -1):
+            product ^= np.where((a >> np.uint32(bit)) & np.uint32(1), b, np.uint32(0))
+            b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+        out[rows] = product ^ crcs[at]
+    return out
 
 
 PACK = "kind string, key binary, doc_id {id}, n_ids long, payload binary, crc long"
@@ -284,12 +318,17 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | N
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first row of each address, in rows sorted by it, and the rows of documents; nothing but the last address is held."""
-        last = None
+        last = np.zeros((0, ADDRESS), np.uint8)
         for batch in batches:
-            keys = batch.column(1).to_pylist()
-            keep = [doc or apart for doc, apart in zip((kind == "doc" for kind in batch.column(0).to_pylist()), map(ne, keys, [last, *keys[:-1]]), strict=True)]
-            last = keys[-1] if keys else last
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            column = batch.column(1)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+            keys = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] :][: batch.num_rows * ADDRESS].reshape(-1, ADDRESS)
+            before = np.concatenate((last, keys[:-1])) if len(last) else np.concatenate((~keys[:1], keys[:-1]))
+            keep = (keys != before).any(axis=1) | pc.equal(batch.column(0), "doc").to_numpy(zero_copy_only=False)
+            last = keys[-1:].copy()
+            yield batch.filter(pa.array(keep))
 
     schema = PACK.format(id=id_type)
     made = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(chunked, schema)
@@ -365,17 +404,18 @@ def read_documents(spark: SparkSession, path: str, verify: bool = True) -> DataF
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            crcs, roots = [], []
-            for parts, n_tokens, root in zip(col["parts"].to_pylist(), col["n_tokens"].to_pylist(), col["root"].to_pylist(), strict=True):
-                crc, n = 0, 0
-                for p in parts or ():
-                    crc = crc_joined(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
-                    n += p["n"]
-                roots.append(merkle([p["key"] for p in parts or ()]))
-                if verify and (n != n_tokens or roots[-1] != root):
-                    raise ValueError(f"{path}: a document differs from its recipe")
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([col["doc_id"], col["at"], col["n_tokens"], pa.array(crcs, pa.int64()), col["shard"], col["row"], pa.array(roots, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row", "root"])
+            sizes = pc.fill_null(pc.list_value_length(col["parts"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = col["parts"].flatten()
+            _, keys, n, crc = (parts.field(k) for k in range(4))
+            n, crc = n.to_numpy(zero_copy_only=False), crc.to_numpy(zero_copy_only=False)
+            border = np.concatenate(([0], np.cumsum(sizes)))
+            keys = keys.to_pylist()
+            roots = [merkle(keys[a:z]) for a, z in itertools.pairwise(border.tolist())]
+            total = np.concatenate(([0], np.cumsum(n)))[border]
+            if verify and (np.diff(total).tolist() != col["n_tokens"].to_pylist() or roots != col["root"].to_pylist()):
+                raise ValueError(f"{path}: a document differs from its recipe")
+            crcs = crcs_joined(sizes, crc.astype(np.uint32), 4 * n)
+            yield pa.RecordBatch.from_arrays([col["doc_id"], col["at"], col["n_tokens"], pa.array(crcs.astype(np.int64)), col["shard"], col["row"], pa.array(roots, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row", "root"])
 
     read = whole.select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n_tokens", "root", "shard", "row", "parts").mapInArrow(combined, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, shard int, row long, root binary")
     if verify:
