@@ -19,3 +19,7 @@ class InvalidContextError(EngineError):
 
 class ArtifactError(EngineError):
     """An artifact is missing, unreadable or of a newer format."""
+
+
+class InvalidNameError(EngineError, ValueError):
+    """A qualified name is asked for with an empty path, name or parent."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.errors import InvalidNameError
+
 # File stems that name their folder, and extensions of source files by language.
 FOLDER_STEMS = ("__init__", "index", "main", "mod")
 EXTENSIONS = {
@@ -68,6 +70,53 @@ def module(path: Column) -> Column:
     return F.array_join(F.when(F.element_at(named, -1).isin(*FOLDER_STEMS), inner).otherwise(named), ".")
 
 
+def folder(path: Column) -> Column:
+    """``a/b`` is ``a.b``; the root is empty."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    return F.array_join(parts, ".")
+
+
+def project_name(root: str) -> str:
+    """The last part of a path; ``unknown`` where it names nothing."""
+    name = root.replace("\\", "/").rstrip("/").rpartition("/")[2]
+    return "unknown" if name in ("", ".", "..") else name
+
+
+def compute(path: str, name: str, parent: str | None = None) -> str:
+    """The qualified name of one definition; empty arguments are refused."""
+    if not path or not name or parent == "":
+        raise InvalidNameError(f"path {path!r}, name {name!r}, parent {parent!r}")
+    stem, dot, ext = path.replace("\\", "/").rpartition(".")
+    parts = [p for p in (stem if dot and "/" not in ext else path.replace("\\", "/")).split("/") if p]
+    if parts and parts[-1] in FOLDER_STEMS:
+        parts.pop()
+    return ".".join([*parts, *([parent] if parent else []), name])
+
+
+def supported_languages() -> list[str]:
+    return sorted(EXTENSIONS)
+
+
+def supported_extensions() -> list[str]:
+    return sorted(BY_EXTENSION)
+
+
+def capability(language: Column) -> Column:
+    """``full`` for languages whose definitions and calls are read, else ``fallback``."""
+    return F.when(language.isin(*EXTENSIONS), "full").otherwise("fallback")
+
+
+def unavailable(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The labels of files whose language is not read in full, each once."""
+    label = file_label(F.col(path))
+    return paths.select(label.alias("language")).where(capability(F.col("language")) != "full").distinct()
+
+
+def by_prefix(symbols: DataFrame) -> DataFrame:
+    """(prefix, qualified_name): each symbol under each proper prefix of its name."""
+    return symbols.select(F.explode(prefixes(F.col("qualified_name"))).alias("prefix"), "qualified_name").distinct()
+
+
 def qualified(path: Column, name: Column, parent: Column) -> Column:
     return F.concat_ws(".", F.nullif(module(path), F.lit("")), F.nullif(parent, F.lit("")), name)
 

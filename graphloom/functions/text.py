@@ -34,13 +34,12 @@ def minified(text: Column) -> Column:
 
 
 def short_signature(signature: Column, most: int = 80) -> Column:
-    """Cut at a comma or blank among the last 20 characters before the limit, else at the limit, with dots."""
+    """Cut before the last comma or blank among the 20 characters up to the one behind the limit's, else at the limit, with dots."""
     cut = most - 3
-    head = F.substring(signature, 1, cut)
-    tail = F.substring(signature, cut - 19, 20)
-    back = F.char_length(F.regexp_extract(tail, "([^, ]*)$", 1))
-    at = F.when(back < 20, cut - back - 1).otherwise(cut)
-    return F.when(F.char_length(signature) <= most, signature).otherwise(F.concat(F.rtrim(F.substr(head, F.lit(1), at)), F.lit("...")))
+    tail = F.substring(signature, cut - 18, 20)  # the characters at cut - 19 to cut, from zero
+    behind = F.char_length(F.regexp_extract(tail, "([^, ]*)$", 1))
+    at = F.when(behind < 20, cut - behind).otherwise(cut)
+    return F.when(F.char_length(signature) <= most, signature).otherwise(F.concat(F.substr(signature, F.lit(1), at), F.lit("...")))
 
 
 def fitted_name(name: Column, width: int) -> Column:
@@ -52,9 +51,14 @@ def last_components(name: Column, n: int = 2) -> Column:
     return F.when(F.size(parts) > n, F.array_join(F.slice(parts, -n, n), ".")).otherwise(name)
 
 
+# Letters with marks, and what they are without.
+MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžǎǐǒǔșțạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹơư"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzaioustaaaaaaaaaaaaeeeeeeeeiioooooooooooouuuuuuuyyyyou"
+
+
 def folded(text: Column) -> Column:
-    """Lower case, accents of Latin letters removed."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, marks of Latin letters removed, be they part of a letter or behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", "")
 
 
 def terms(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,8 @@ class Config:
     max_files: int = 0
     unknown_files: bool = True
     ignore_lines: list[str] = field(default_factory=list)
+    follow_ignore_files: bool = True
+    on_progress: Callable[[str, int], None] | None = None  # told each step's name and a count; what it raises is not passed on
     min_confidence: float = 0.0
 
 
@@ -108,22 +112,34 @@ def edge_rows(calls: DataFrame, resolved: DataFrame, symbols: DataFrame, min_con
 
 
 def run(spark: SparkSession, root: str, store_root: str, config: Config | None = None) -> Result:
-    """Index the files below ``root`` into the project's store.
+    """Index the files below ``root`` into the project's store."""
+    config = config or Config()
+    current = repo.read_repository(spark, root, config.ignore_lines, config.max_file_bytes, config.max_files, config.unknown_files, config.follow_ignore_files)
+    return update(Store(spark, store_root, config.project or naming.project_name(root)), current, root, config)
+
+
+def update(store: Store, current: DataFrame, root: str = "", config: Config | None = None) -> Result:
+    """Bring a store up to the files (path, source, sha256, mtime_ns, size_bytes).
 
     With ``incremental`` and a snapshot there, only files that are new or
     changed are parsed; symbols of the others are kept, and all edges are
     resolved anew from the calls stored with the symbols.
     """
-    began, config = time.monotonic(), config or Config()
-    project = config.project or root.rstrip("/").rpartition("/")[2]
-    store = Store(spark, store_root, project)
+    began, config, spark, project = time.monotonic(), config or Config(), store.spark, store.project
+
+    def told(step: str, count: int) -> None:
+        if config.on_progress:
+            with contextlib.suppress(Exception):
+                config.on_progress(step, count)
+
     known = config.incremental and store.exists()
-    current = repo.read_repository(spark, root, config.ignore_lines, config.max_file_bytes, config.max_files, config.unknown_files)
     old = {name: store.table(name) for name in ("files", "file_hashes", "symbols")} if known else {}
     stored = old["file_hashes"] if known else spark.createDataFrame([], "path string, sha256 string, mtime_ns bigint")
     changes = storage.cut_lineage(storage.classify_changes(stored, current))  # paths only
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-    fresh = storage.cut_lineage(current.join(changes.where("change in ('added', 'changed')").select("path"), "path", "left_semi"))
+    told("discovered", sum(n for change, n in counts.items() if change != "removed"))
+    fresh = current.join(changes.where("change in ('added', 'changed')").select("path"), "path", "left_semi") if known else current
+    fresh = storage.cut_lineage(fresh)
     raw = storage.cut_lineage(extract.extracted(fresh.where(~F.coalesce(extract.skipped(F.col("path"), F.col("source")), F.lit(False)))))
     symbols = symbol_rows(fresh, raw)
     files = fresh.join(raw.select("path", "imports"), "path", "left").select(
@@ -138,16 +154,18 @@ def run(spark: SparkSession, root: str, store_root: str, config: Config | None =
         hashes = old["file_hashes"].join(gone, "path", "left_anti").unionByName(hashes)
     symbols, files = storage.cut_lineage(symbols), storage.cut_lineage(files)
     calls = call_rows(symbols)
-    resolved = storage.cut_lineage(resolve.resolve(calls, import_rows(files, symbols), symbols))
+    resolved = storage.cut_lineage(resolve.resolve(calls, import_rows(files, symbols), symbols, project))
     edges = storage.cut_lineage(edge_rows(calls, resolved, symbols, config.min_confidence))
     about = spark.range(1).select(F.lit(project).alias("name"), F.lit(root).alias("root_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("indexed_at"), F.lit(SCHEMA_VERSION).alias("schema_version"))
     version = store.commit({"project": about, "files": files, "file_hashes": hashes, "symbols": symbols, "edges": edges})
-    told = resolved.agg(F.count("*").alias("n"), F.count("target").alias("hit")).first()
+    hits = resolved.agg(F.count("*").alias("n"), F.count("target").alias("hit")).first()
     totals = symbols.agg(F.count("*").alias("n"), F.coalesce(F.sum("unsupported_calls"), F.lit(0)).alias("unsupported")).first()
-    return Result(
-        project, version, counts.get("added", 0), counts.get("changed", 0), counts.get("removed", 0), counts.get("unchanged", 0), totals["n"], edges.count(), told["n"], told["hit"], told["n"] - told["hit"], totals["unsupported"],
+    result = Result(
+        project, version, counts.get("added", 0), counts.get("changed", 0), counts.get("removed", 0), counts.get("unchanged", 0), totals["n"], edges.count(), hits["n"], hits["hit"], hits["n"] - hits["hit"], totals["unsupported"],
         raw.where("error is not null").count(), time.monotonic() - began,
     )
+    told("stored", result.nodes_total)
+    return result
 
 
 def run_incremental(spark: SparkSession, root: str, store_root: str, config: Config | None = None) -> Result:

@@ -11,17 +11,6 @@ from graphloom.functions import text
 BUDGET, COMPACT_REACH, SUMMARY_REACH, IMPORTS_SHOWN = 8_000, 2, 10, 8
 
 
-def skeleton_blocks(symbols: DataFrame) -> DataFrame:
-    """file_path and its block of lines: signatures by line, members indented, names behind."""
-    line = F.when(F.col("label") == "File", F.col("signature")).when(F.col("parent") != "", F.concat(F.lit("    "), "signature", F.lit("  # "), "qualified_name")).otherwise(F.concat("signature", F.lit("  # "), "qualified_name"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("start_line", "qualified_name", line.alias("line")))), lambda x: x.line)
-    return symbols.groupBy("file_path").agg(F.concat(F.lit("\n### "), F.first("file_path"), F.lit("\n"), F.array_join(lines, "\n")).alias("block"))
-
-
-def compact_lines(symbols: DataFrame) -> DataFrame:
-    return symbols.where("label <> 'File'").select("file_path", "start_line", text.short_signature(F.col("signature")).alias("line"))
-
-
 def summary(symbols: DataFrame) -> DataFrame:
     """Counts by label and estimated tokens of each file."""
     count = lambda *labels: F.count_if(F.col("label").isin(*labels))
@@ -29,10 +18,6 @@ def summary(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("file_path").agg(count("Class").alias("classes"), count("Function").alias("functions"), count("Method").alias("methods"), F.floor(joined / text.CHARS_A_TOKEN).alias("tokens"))
 
 
-def dependencies(imports: DataFrame) -> DataFrame:
-    return imports.select("file_path", text.last_components(F.col("module_path")).alias("module")).distinct()
-
-
 def mode(tokens: Column, budget: int = BUDGET) -> Column:
     return F.when(tokens <= budget, "skeleton").when(tokens <= budget * COMPACT_REACH, "compact").when(tokens <= budget * SUMMARY_REACH, "summary").otherwise("deps")
 

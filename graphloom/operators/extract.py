@@ -10,7 +10,7 @@ leading lines that does is used.  Sixteen other languages are scanned
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,6 +125,21 @@ def skipped(path: Column, source: Column) -> Column:
     return naming.extension(path).isin(*naming.OPAQUE_EXTENSIONS) | name.isin(*naming.LOCK_NAMES) | bundled | (F.octet_length(source) > text.FILE_BYTES) | text.minified(source)
 
 
+Extractor = Callable[[str], tuple[list[dict], list[dict]]]
+OWN: dict[str, Extractor] = {}
+
+
+def register(language: str, extractor: Extractor) -> None:
+    """Read files of a language by a function of one's own: from a source to definitions (as ``SYMBOL``) and imports.
+
+    Queries that are planned afterwards use it; fields that a definition lacks are empty.
+    """
+    OWN[language] = extractor
+
+
+EMPTY = {"parent": "", "start_line": 0, "end_line": 0, "signature": "", "source": "", "decorators": [], "is_async": False, "receiver": "", "visibility": "", "is_static": False, "is_abstract": False, "return_type": "", "calls": [], "imports": [], "unsupported_calls": 0}
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """path, symbols (array), imports (array) and error of each of (path, source) in a known language.
 
@@ -132,14 +147,20 @@ def extracted(files: DataFrame) -> DataFrame:
     whose extraction fails has no symbols, and the error's text.
     """
 
+    own = dict(OWN)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, language, source in zip(frame["path"], frame["language"], frame["source"], strict=True):
                 try:
+                    if language in own:
+                        found, imports = own[language](source or "")
+                        rows.append((path, [EMPTY | f for f in found], imports, None))
+                        continue
                     found = python_symbols(source or "") if language == "python" else scanners.symbols(source or "", language)
                     rows.append((path, *found, None))
-                except (ValueError, RecursionError, MemoryError) as failed:
+                except (ValueError, RecursionError, MemoryError, KeyError, TypeError, AttributeError) as failed:
                     rows.append((path, [], [], f"{type(failed).__name__}: {failed}"))
             yield pd.DataFrame(rows, columns=["path", "symbols", "imports", "error"])
 

@@ -39,32 +39,49 @@ def same_module(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return tried.join(symbols.select("qualified_name").distinct(), "qualified_name").select("file_path", "call_index", "rank", F.col("qualified_name").alias("target"))
 
 
+def visible_names(imports: DataFrame) -> DataFrame:
+    """(file_path, ordinal, scope, key, base, named, bare): what each import lets a file see under which name.
+
+    ``base`` is the full name of it, ``named`` tells a name from an alias.  An alias comes before an equal name where a call has a
+    qualifier (``bare`` false), and the other way round where it has none.
+    """
+    module, has_names = naming.module_path(F.col("module_path")), F.coalesce(F.size("names") > 0, F.lit(False))
+    first = F.when(has_names, F.concat_ws(".", module, F.get("names", F.lit(0)))).otherwise(module)
+    names = F.coalesce(F.array_distinct("names"), F.array().cast("array<string>"))
+    seen = F.transform(names, lambda n: F.struct(n.alias("key"), F.concat_ws(".", module, n).alias("base"), F.lit(True).alias("named"), F.coalesce(n == F.col("alias"), F.lit(False)).alias("shadowed")))
+    alias = F.when(F.coalesce("alias", F.lit("")) != "", F.array(F.struct(F.col("alias").alias("key"), first.alias("base"), F.lit(False).alias("named"), F.array_contains(names, F.col("alias")).alias("shadowed"))))
+    each = imports.select("file_path", "ordinal", F.coalesce("in_function", F.lit("")).alias("scope"), F.explode(F.concat(seen, F.coalesce(alias, F.filter(seen, lambda _: F.lit(False))))).alias("s"))
+    return each.select("file_path", "ordinal", "scope", "s.*")
+
+
 def import_map(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """A definition that an import of the file names; imports of a function count inside it only."""
-    i = imports.select("file_path", "ordinal", naming.module_path(F.col("module_path")).alias("module"), "names", "alias", F.coalesce("in_function", F.lit("")).alias("scope"))
-    met = calls.join(i, "file_path").where("scope = '' or scope = in_function")
-    root = F.substring_index("qual", ".", 1)
-    first = F.concat_ws(".", "module", F.get("names", F.lit(0)))
-    has_names = F.coalesce(F.size("names") > 0, F.lit(False))
-    target = F.when(
-        F.col("qual") != "",
-        F.when(F.col("alias") == root, F.concat_ws(".", F.when(has_names, first).otherwise(F.col("module")), "bare")).when(F.array_contains("names", root), F.concat_ws(".", "module", root, "bare")),
-    ).otherwise(F.when(F.array_contains("names", F.col("bare")), F.concat_ws(".", "module", "bare")).when(F.col("alias") == F.col("bare"), F.when(has_names, first).otherwise(F.col("module"))))
-    tried = met.select("file_path", "call_index", (F.col("ordinal") + IMPORTED).cast("long").alias("rank"), target.alias("qualified_name")).where("qualified_name is not null")
+    """A definition that an import of the file names; imports of a function count inside it only.
+
+    Calls meet the visible names of their file by file and name, not all of its imports.
+    """
+    qualified = F.col("qual") != ""
+    asked = calls.select("file_path", "call_index", "in_function", "bare", qualified.alias("qualified"), F.when(qualified, F.substring_index("qual", ".", 1)).otherwise(F.col("bare")).alias("key"))
+    met = asked.join(visible_names(imports), ["file_path", "key"]).where("(scope = '' or scope = in_function) and not (shadowed and named = qualified)")
+    target = F.when(F.col("qualified"), F.concat_ws(".", "base", "bare")).otherwise(F.col("base"))
+    tried = met.select("file_path", "call_index", (F.col("ordinal") + IMPORTED).cast("long").alias("rank"), target.alias("qualified_name"))
     return tried.join(symbols.select("qualified_name").distinct(), "qualified_name").select("file_path", "call_index", "rank", F.col("qualified_name").alias("target"))
 
 
-def fuzzy(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The only definition of that name anywhere."""
-    named = symbols.select("name", "qualified_name").distinct().groupBy("name").agg(F.count("*").alias("n"), F.min("qualified_name").alias("target")).where("n = 1")
+def fuzzy(calls: DataFrame, symbols: DataFrame, project: str = "") -> DataFrame:
+    """The only definition of that name anywhere, or of two to ``MOST_FUZZY`` the only one in the project."""
+    own = F.col("qualified_name").startswith(f"{project}.") if project else F.lit(False)
+    names = symbols.select("name", "qualified_name").distinct().groupBy("name")
+    named = names.agg(F.count("*").alias("n"), F.min("qualified_name").alias("only"), F.count_if(own).alias("n_own"), F.min(F.when(own, F.col("qualified_name"))).alias("own"))
+    target = F.when(F.col("n") == 1, F.col("only")).when((F.col("n") <= MOST_FUZZY) & (F.col("n_own") == 1), F.col("own"))
+    known = named.select("name", target.alias("target")).where("target is not null")
     tried = calls.where(F.char_length("bare") >= SHORTEST_FUZZY)
-    return tried.join(named, tried.bare == named.name).select("file_path", "call_index", F.lit(FUZZY).cast("long").alias("rank"), "target")
+    return tried.join(known, tried.bare == known.name).select("file_path", "call_index", F.lit(FUZZY).cast("long").alias("rank"), "target")
 
 
-def resolve(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve(calls: DataFrame, imports: DataFrame, symbols: DataFrame, project: str = "") -> DataFrame:
     """file_path, call_index, target, strategy and confidence of every call inside a function; the first strategy that fits wins."""
     own = prepared(calls)
-    found = same_module(own, symbols).unionByName(import_map(own, imports, symbols)).unionByName(fuzzy(own, symbols))
+    found = same_module(own, symbols).unionByName(import_map(own, imports, symbols)).unionByName(fuzzy(own, symbols, project))
     best = found.groupBy("file_path", "call_index").agg(F.min(F.struct("rank", "target")).alias("b"))
     strategy = F.when(F.col("b.rank") < IMPORTED, "same_module").when(F.col("b.rank") < FUZZY, "import_map").when(F.col("b.rank") == FUZZY, "fuzzy").otherwise("unresolved")
     joined = own.select("file_path", "call_index", "in_function").join(best, ["file_path", "call_index"], "left").withColumn("strategy", strategy)

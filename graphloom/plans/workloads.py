@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import index, storage
+from graphloom import query as questions
 from graphloom.functions import naming, text
 from graphloom.operators import context, extract, graph, payload, resolve, search
 from graphloom.sources import repo
+from graphloom.store import MemoryStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -311,7 +313,7 @@ def bfs_cycle(spark, sf_dir):
 
 @query(f"""WITH {SUPPLY}, once AS (SELECT source_qn AS node, min(ord) AS ord FROM supply WHERE target_qn = 'p.1' GROUP BY ALL) SELECT s.source_qn AS node, 1 AS hop, 'p.1' AS via, s.confidence FROM supply s JOIN once o ON s.source_qn = o.node AND s.ord = o.ord AND s.target_qn = 'p.1'""")
 def blast_radius(spark, sf_dir):
-    return graph.bfs(supply_edges(spark, sf_dir), "p.1", callers=True, max_depth=3, max_nodes=200)
+    return graph.bfs(supply_edges(spark, sf_dir), "p.1", callers=True, max_depth=3, max_nodes=200).select("node", "hop", "via", "confidence")
 
 
 # Full text ----------------------------------------------------------------------------------------------------------
@@ -375,15 +377,27 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = "turns AS (SELECT 'c' || conv_id AS file_path, CASE WHEN role = 'user' THEN 'Function' ELSE 'Method' END AS label, turn > 0 AS inner_one, turn AS start_line, replace(coalesce(text, ''), chr(10), ' ') AS signature, 'c' || conv_id || '.' || turn AS qn FROM conversations)"
 
 
-@query(f"""WITH {TURNS} SELECT file_path, chr(10) || '### ' || file_path || chr(10) || string_agg(CASE WHEN inner_one THEN '    ' ELSE '' END || signature || '  # ' || qn, chr(10) ORDER BY start_line, qn) AS block FROM turns GROUP BY file_path""")
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation imports one to twelve modules."""
+    k = F.col("conv_id")
+    modules = F.transform(F.sequence(F.lit(0).cast("long"), k % 12), lambda i: F.struct(F.concat(F.lit("pkg.talk.m"), i.cast("string")).alias("module_path")))
+    return table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), k.cast("string")).alias("path"), modules.alias("imports")).distinct()
+
+
+def blocks(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return context.blocks(turns(spark, sf_dir).withColumn("properties", F.lit(None).cast("string")), turn_files(spark, sf_dir), mode)
+
+
+@query(f"""WITH {TURNS}, i AS (SELECT DISTINCT 'c' || conv_id AS file_path, '# imports: ' || array_to_string(list_transform(range(least(conv_id % 12 + 1, 8)), lambda j: 'talk.m' || j), ', ') || CASE WHEN conv_id % 12 >= 8 THEN ' ...' ELSE '' END AS line FROM conversations)
+SELECT t.file_path, chr(10) || '### ' || t.file_path || chr(10) || any_value(i.line) || chr(10) || string_agg(CASE WHEN inner_one THEN '    ' ELSE '' END || signature || '  # ' || qn, chr(10) ORDER BY start_line, qn) AS block FROM turns t JOIN i ON t.file_path = i.file_path GROUP BY t.file_path""")
 def skeleton_lines(spark, sf_dir):
-    return context.skeleton_blocks(turns(spark, sf_dir))
+    return blocks(spark, sf_dir, "skeleton")
 
 
-@query(f"""WITH {TURNS}, cut AS (SELECT qn, signature, length(regexp_extract(substring(signature, 58, 20), '([^, ]*)$', 1)) AS back FROM turns)
-SELECT qn AS qualified_name, CASE WHEN length(signature) <= 80 THEN signature ELSE rtrim(left(signature, CASE WHEN back < 20 THEN 77 - back - 1 ELSE 77 END)) || '...' END AS line FROM cut""")
+@query(f"""WITH {TURNS}, cut AS (SELECT *, CASE WHEN length(signature) <= 80 THEN signature ELSE left(signature, coalesce(list_max(list_filter(range(58, 78), lambda i: substring(signature, i + 1, 1) IN (',', ' '))), 77)) || '...' END AS short FROM turns)
+SELECT file_path, chr(10) || '### ' || file_path || chr(10) || string_agg(CASE WHEN inner_one THEN '    ' ELSE '' END || short, chr(10) ORDER BY start_line, qn) AS block FROM cut GROUP BY file_path""")
 def compact_signatures(spark, sf_dir):
-    return turns(spark, sf_dir).select("qualified_name", text.short_signature(F.col("signature")).alias("line"))
+    return blocks(spark, sf_dir, "compact")
 
 
 @query(f"""WITH {TURNS} SELECT file_path, CAST(0 AS BIGINT) AS classes, CAST(count(*) FILTER (label = 'Function') AS BIGINT) AS functions, CAST(count(*) FILTER (label = 'Method') AS BIGINT) AS methods, CAST((sum(length(signature)) + count(*) - 1) // 4 AS BIGINT) AS tokens FROM turns GROUP BY file_path""")
@@ -397,11 +411,9 @@ def mode_choice(spark, sf_dir):
     return sized.withColumn("mode", context.mode(F.col("tokens"), 100))
 
 
-@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/?([^"]*)"', 1)) AS href FROM pages), d AS (SELECT page_id, replace('site/pages/' || href, '/', '.') AS m FROM h)
-SELECT DISTINCT CAST(page_id AS VARCHAR) AS file_path, CASE WHEN len(string_split(m, '.')) > 2 THEN array_to_string(list_slice(string_split(m, '.'), -2, -1), '.') ELSE m END AS module FROM d""")
+@query("""SELECT DISTINCT 'c' || conv_id AS file_path, array_to_string(list_transform(range(conv_id % 12 + 1), lambda j: 'c' || conv_id || ' -> talk.m' || j), chr(10)) AS block FROM conversations""")
 def deps_edges(spark, sf_dir):
-    hrefs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.explode(F.regexp_extract_all("html", F.lit('href="/?([^"]*)"'), F.lit(1))).alias("href"))
-    return context.dependencies(hrefs.select("file_path", F.replace(F.concat(F.lit("site/pages/"), "href"), F.lit("/"), F.lit(".")).alias("module_path")))
+    return blocks(spark, sf_dir, "deps")
 
 
 @query(f"WITH {SUPPLY} SELECT DISTINCT source_qn AS qn, rpad(source_qn, 60, ' ') AS padded, '...' || right('package.module.' || source_qn, 12) AS cut FROM supply WHERE length('package.module.' || source_qn) > 15")
@@ -506,3 +518,335 @@ def extract_other_languages(spark, sf_dir):
 def import_parsers(spark, sf_dir):
     rows = extract.extracted(spark.createDataFrame(OTHER_SOURCES, "path string, source string")).select("path", F.inline("imports"))
     return rows.select("path", "module_path", F.array_join("names", ",").alias("names"), "alias", "line")
+
+
+# A project of parts: built by the index, asked through store and queries --------------------------------------------
+PARTS = f"""{PART_SYMBOLS}, src AS (SELECT k, qn, 'app/p' || k || ['.py', '.ts', '.go', '.java'][k % 4 + 1] AS path, ['python', 'typescript', 'go', 'java'][k % 4 + 1] AS language, [
+'from app.p' || (k + 1) || ' import f' || (k + 1) || chr(10) || chr(10) || 'def f' || k || '(x):' || chr(10) || '    return f' || (k + 1) || '(x)' || chr(10),
+'// f' || (k + 1) || '(0)' || chr(10) || 'export function f' || k || '(x: number): number {{' || chr(10) || '  return f' || (k + 1) || '(x);' || chr(10) || '}}' || chr(10),
+'package app' || chr(10) || chr(10) || 'func f' || k || '(x int) int {{' || chr(10) || chr(9) || 'println("f' || (k + 1) || '(0)")' || chr(10) || chr(9) || 'return f' || (k + 1) || '(x)' || chr(10) || '}}' || chr(10),
+'class P' || k || ' {{' || chr(10) || '  private static int f' || k || '(int x) {{ return f' || (k + 1) || '(x); }}' || chr(10) || '}}' || chr(10)][k % 4 + 1] AS source FROM p),
+nodes AS (SELECT qn AS qualified_name, 'Function' AS label, path AS file_path, CAST([3, 2, 3, 2][k % 4 + 1] AS INTEGER) AS start_line, CAST([4, 4, 6, 2][k % 4 + 1] AS INTEGER) AS end_line,
+['def f' || k || '(x):', 'export function f' || k || '(x: number): number {{', 'func f' || k || '(x int) int {{', 'private static int f' || k || '(int x) {{ return f' || (k + 1) || '(x); }}'][k % 4 + 1] AS signature, k FROM src
+UNION ALL SELECT 'app.p' || k || '.P' || k, 'Class', path, 1, 3, 'class P' || k || ' {{', k FROM src WHERE k % 4 = 3),
+links AS (SELECT s.k, s.qn AS source_qn, t.qn AS target_qn, CAST(CASE WHEN s.k % 4 = 0 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM p s JOIN p t ON t.k = s.k + 1)"""
+
+
+def current_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_sources(spark, sf_dir)
+    return rows.select("path", "source", F.sha2("source", 256).alias("sha256"), F.lit(1).cast("long").alias("mtime_ns"), F.octet_length("source").cast("long").alias("size_bytes"))
+
+
+_stores: dict[tuple, MemoryStore] = {}
+
+
+def part_store(spark: SparkSession, sf_dir: str) -> MemoryStore:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stores:
+        store = MemoryStore(spark, "parts")
+        index.update(store, current_parts(spark, sf_dir), "parts")
+        _stores[key] = store
+    return _stores[key]
+
+
+@query(f"WITH {PARTS} SELECT qualified_name, label, file_path, start_line, end_line, signature FROM nodes")
+def store_records(spark, sf_dir):
+    return part_store(spark, sf_dir).records().select("qualified_name", "label", "file_path", "start_line", "end_line", "signature")
+
+
+@query(f"""WITH {PARTS} SELECT 'name' AS how, qualified_name, label, start_line FROM nodes WHERE qualified_name = 'app.p8.f8' UNION ALL SELECT 'id', qualified_name, label, start_line FROM nodes WHERE qualified_name = 'app.p9.f9'
+UNION ALL SELECT 'file', qualified_name, label, start_line FROM nodes WHERE file_path = 'app/p11.java'""")
+def store_lookup(spark, sf_dir):
+    store = part_store(spark, sf_dir)
+    key = store.ids().where("qualified_name = 'app.p9.f9'").first()["id"]
+    found = (("name", store.node_by_name("app.p8.f8")), ("id", store.node_by_id(key)), ("file", store.nodes_of_file("app/p11.java")))
+    a, b, c = (rows.select(F.lit(how).alias("how"), "qualified_name", "label", "start_line") for how, rows in found)
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"WITH {PARTS} SELECT qualified_name FROM nodes WHERE file_path = 'app/p11.java'")
+def store_names_of_file(spark, sf_dir):
+    return part_store(spark, sf_dir).names_of_file("app/p11.java")
+
+
+@query(f"WITH {PARTS} SELECT path, source FROM src WHERE k IN (8, 10)")
+def store_file_source(spark, sf_dir):
+    store = part_store(spark, sf_dir)
+    return spark.createDataFrame([(p, store.file_source(p)) for p in ("app/p8.py", "app/p10.go")], "path string, source string")
+
+
+@query(f"WITH {PARTS} SELECT path, sha256(source) AS sha256, CAST(strlen(source) AS BIGINT) AS size_bytes, CAST(1 AS BIGINT) AS mtime_ns FROM src")
+def store_hashes(spark, sf_dir):
+    return part_store(spark, sf_dir).hashes().select("path", "sha256", "size_bytes", "mtime_ns")
+
+
+@query(f"WITH {PARTS} SELECT path, language, source, CAST(length(source) - length(replace(source, chr(10), '')) AS INTEGER) AS line_count, CAST(strlen(source) AS BIGINT) AS size_bytes FROM src")
+def store_files(spark, sf_dir):
+    return part_store(spark, sf_dir).table("files").select("path", "language", "source", "line_count", "size_bytes")
+
+
+@query(f"WITH {PARTS} SELECT (SELECT CAST(count(*) AS BIGINT) FROM nodes) AS n_symbols, (SELECT CAST(count(*) AS BIGINT) FROM links) AS n_edges, (SELECT CAST(count(*) AS BIGINT) FROM src) AS n_files, 1 AS schema_version")
+def store_counts(spark, sf_dir):
+    return part_store(spark, sf_dir).counts()
+
+
+@query(f"WITH {PARTS} SELECT language, CAST(count(*) AS BIGINT) AS n FROM src GROUP BY language")
+def store_languages(spark, sf_dir):
+    return part_store(spark, sf_dir).languages()
+
+
+@query(f"WITH {PARTS} SELECT file_path, signature, qualified_name FROM nodes UNION ALL SELECT 'class:' || file_path, signature, qualified_name FROM nodes WHERE label = 'Class'")
+def skeleton_stream(spark, sf_dir):
+    store = part_store(spark, sf_dir)
+    return store.skeleton().unionByName(store.skeleton(("Class",)).withColumn("file_path", F.concat(F.lit("class:"), "file_path")))
+
+
+@query(f"""WITH {PARTS} SELECT 'label' AS kind, label AS name, CAST(count(*) AS BIGINT) AS n FROM nodes GROUP BY label UNION ALL SELECT 'type', 'CALLS', count(*) FROM links UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes
+UNION ALL SELECT 'total', 'edges', count(*) FROM links UNION ALL SELECT 'sample', qualified_name, 1 FROM (SELECT qualified_name FROM nodes ORDER BY qualified_name LIMIT 10)""")
+def store_summary(spark, sf_dir):
+    found = questions.summary(part_store(spark, sf_dir))
+    rows = [("label", k, n) for k, n in found["node_labels"]] + [("type", k, n) for k, n in found["edge_types"]] + [("total", "nodes", found["total_nodes"]), ("total", "edges", found["total_edges"])]
+    return spark.createDataFrame(rows + [("sample", q, 1) for q in found["sample_qns"]], "kind string, name string, n long")
+
+
+@query(f"""WITH {PARTS} SELECT 'symbols' AS what, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'files', 0 UNION ALL SELECT 'file_hashes', 0 UNION ALL SELECT 'edges', 0 UNION ALL SELECT 'newer_schema', 1
+UNION ALL SELECT 'loose_edges', count(*) FROM links WHERE k % 10 = 0""")
+def store_check(spark, sf_dir):
+    store, bad = part_store(spark, sf_dir), MemoryStore(spark, "bad")
+    tables = {n: store.table(n) for n in ("files", "file_hashes", "symbols", "edges", "project")}
+    few = tables["symbols"].where("qualified_name in ('app.p4.f4', 'app.p5.f5', 'app.p6.f6', 'app.p8.f8', 'app.p9.f9')")
+    k = F.regexp_extract("source_qn", r"f([0-9]+)$", 1).cast("long")
+    loose = F.when(k % 10 == 0, F.concat("target_qn", F.lit(".gone"))).otherwise(F.col("target_qn"))
+    bad.commit(tables | {"symbols": tables["symbols"].unionByName(few), "edges": tables["edges"].withColumn("target_qn", loose), "project": tables["project"].withColumn("schema_version", F.lit(2))})
+    return spark.createDataFrame(list(bad.check().items()), "what string, n long")
+
+
+def changed_parts(spark: SparkSession, sf_dir: str) -> index.Result | MemoryStore:
+    """The store of the parts that 5 does not divide, brought up to those that 7 does not, a third of them with a comment more."""
+    key = spark.sparkContext.applicationId, sf_dir, "changed"
+    if key not in _stores:
+        store, now = MemoryStore(spark, "changing"), current_parts(spark, sf_dir).withColumn("k", F.regexp_extract("path", "p([0-9]+)", 1).cast("long"))
+        index.update(store, now.where("k % 5 <> 0").drop("k"))
+        more = F.when((F.col("k") % 3 == 0) & (F.col("k") % 4 != 0), F.concat("source", F.lit("// more\n"))).otherwise(F.col("source"))
+        edited = now.where("k % 7 <> 0").withColumn("source", more).withColumn("sha256", F.sha2("source", 256)).withColumn("mtime_ns", F.when(F.col("k") % 11 == 0, 2).otherwise(1).cast("long"))
+        store.told = index.update(store, edited.drop("k"))
+        _stores[key] = store
+    return _stores[key]
+
+
+@query(f"""WITH {PARTS}, c AS (SELECT k, k % 5 <> 0 AS old, k % 7 <> 0 AS new, k % 11 = 0 OR (k % 3 = 0 AND k % 4 <> 0) AS edited FROM p)
+SELECT CAST(count(*) FILTER (NOT old AND new) AS BIGINT) AS added, CAST(count(*) FILTER (old AND new AND edited) AS BIGINT) AS changed, CAST(count(*) FILTER (old AND NOT new) AS BIGINT) AS removed,
+CAST(count(*) FILTER (old AND new AND NOT edited) AS BIGINT) AS unchanged, (SELECT CAST(count(*) AS BIGINT) FROM nodes WHERE k % 7 <> 0) AS nodes, (SELECT CAST(count(*) AS BIGINT) FROM links WHERE k % 7 <> 0 AND (k + 1) % 7 <> 0) AS edges FROM c""")
+def update_counts(spark, sf_dir):
+    t = changed_parts(spark, sf_dir).told
+    return spark.createDataFrame([(t.files_added, t.files_changed, t.files_removed, t.files_unchanged, t.nodes_total, t.edges_total)], "added long, changed long, removed long, unchanged long, nodes long, edges long")
+
+
+@query(f"WITH {PARTS} SELECT source_qn, target_qn, confidence FROM links WHERE k % 7 <> 0 AND (k + 1) % 7 <> 0")
+def update_edges(spark, sf_dir):
+    return changed_parts(spark, sf_dir).table("edges").select("source_qn", "target_qn", "confidence")
+
+
+@query(f"WITH {PARTS} SELECT qualified_name, file_path FROM nodes WHERE k % 7 <> 0")
+def update_nodes(spark, sf_dir):
+    return changed_parts(spark, sf_dir).table("symbols").select("qualified_name", "file_path")
+
+
+@query(f"WITH {PARTS} SELECT CAST(10 - k AS INTEGER) AS hop, source_qn AS qualified_name, confidence FROM links WHERE k BETWEEN 7 AND 9")
+def trace_callers(spark, sf_dir):
+    found = questions.trace(part_store(spark, sf_dir), "app.p10.f10", depth=3)
+    return spark.createDataFrame([(s.hop, s.qualified_name, s.confidence) for s in found.visited], "hop int, qualified_name string, confidence double")
+
+
+@query(f"""WITH {PARTS} SELECT 'caller' AS kind, source_qn AS qualified_name FROM links WHERE k = 9 UNION ALL SELECT 'callee', target_qn FROM links WHERE k = 10
+UNION ALL SELECT 'source', trim(array_to_string(list_slice(string_split(source, chr(10)), 3, 6), chr(10)), chr(10)) FROM src WHERE k = 10""")
+def get_source_rows(spark, sf_dir):
+    found = questions.get_source(part_store(spark, sf_dir), "app.p10.f10")
+    rows = [("caller", s.qualified_name) for s in found.callers] + [("callee", s.qualified_name) for s in found.callees] + [("source", found.source)]
+    return spark.createDataFrame(rows, "kind string, qualified_name string")
+
+
+@query(f"""WITH {PARTS}, hit AS (SELECT qualified_name, 'f' || k AS name FROM nodes WHERE label = 'Function' AND file_path ILIKE '%.GO') SELECT (SELECT CAST(count(*) AS BIGINT) FROM hit) AS total, qualified_name FROM hit ORDER BY name, qualified_name LIMIT 7 OFFSET 2""")
+def search_without_terms(spark, sf_dir):
+    hits = questions.find_symbols(part_store(spark, sf_dir), "", label="Function", file_pattern="%.GO", limit=7, offset=2)
+    return spark.createDataFrame([(hits.total, s.qualified_name) for s in hits.matches], "total long, qualified_name string")
+
+
+@query(f"WITH {PARTS} SELECT CAST(2 AS BIGINT) AS total, qualified_name FROM nodes WHERE k IN (9, 10) AND label = 'Function'")
+def search_terms(spark, sf_dir):
+    hits = questions.find_symbols(part_store(spark, sf_dir), "f10 NOT class", label="Function")
+    return spark.createDataFrame([(hits.total, s.qualified_name) for s in hits.matches], "total long, qualified_name string")
+
+
+# Branches of resolution, payloads of all shapes, rules and names ------------------------------------------------------
+def class_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text_of = lambda c: c.cast("string")
+    module, owner = F.concat(F.lit("app.m"), text_of(k % 20)), F.concat(F.lit("C"), text_of(k % 7))
+    rows = F.array(
+        F.struct(F.concat_ws(".", module, owner).alias("qualified_name"), owner.alias("name"), F.lit("Class").alias("label")),
+        F.struct(F.concat_ws(".", module, owner, F.concat(F.lit("g"), text_of(k % 5))).alias("qualified_name"), F.concat(F.lit("g"), text_of(k % 5)).alias("name"), F.lit("Function").alias("label")),
+        F.struct(F.concat_ws(".", module, F.concat(F.lit("h"), text_of(k % 9))).alias("qualified_name"), F.concat(F.lit("h"), text_of(k % 9)).alias("name"), F.lit("Function").alias("label")),
+    )
+    return table(spark, sf_dir, "part").where("p_partkey % 60 < 25").select(F.inline(rows)).distinct()
+
+
+def qualified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    v = F.col("l_linenumber") % 5
+    file = F.concat(F.lit("app/m"), n("l_orderkey", 20), F.lit(".py"))
+    callee = F.when(v == 0, F.concat(F.lit("self.h"), n("l_partkey", 9))).when(v == 1, F.concat(F.lit("C"), n("l_partkey", 7), F.lit(".g"), n("l_suppkey", 5))).when(v == 4, F.concat(F.lit("ren"), n("l_partkey", 4))).otherwise(F.concat(F.lit("g"), n("l_suppkey", 5)))
+    qualifier = F.when(v == 2, F.concat(F.lit("al"), n("l_suppkey", 3))).when(v == 3, F.concat(F.lit("cls.C"), n("l_partkey", 7))).otherwise("")
+    return table(spark, sf_dir, "lineitem").select(file.alias("file_path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("call_index"), callee.alias("callee"), qualifier.alias("qualifier"), F.lit("app.run").alias("in_function"), naming.module(file).alias("module_qn"))
+
+
+def class_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By number modulo 3: a module under an alias, two classes by name, a function renamed."""
+    k = F.col("s_suppkey")
+    n = lambda m: (k % m).cast("string")
+    names = F.when(k % 3 == 1, F.array(F.concat(F.lit("C"), n(7)), F.concat(F.lit("C"), (k * 2 % 7).cast("string")))).when(k % 3 == 2, F.array(F.concat(F.lit("h"), n(9)))).otherwise(F.array().cast("array<string>"))
+    alias = F.when(k % 3 == 0, F.concat(F.lit("al"), (k * 5 % 9 % 3).cast("string"))).when(k % 3 == 2, F.concat(F.lit("ren"), n(4))).otherwise("")
+    module = F.concat(F.lit("app.m"), (k * 11 % 20).cast("string"), F.when(k % 3 == 0, F.concat(F.lit(".C"), n(7))).otherwise(""))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("app/m"), (k * 3 % 20).cast("string"), F.lit(".py")).alias("file_path"), k.alias("ordinal"), module.alias("module_path"), names.alias("names"), alias.alias("alias"), F.lit("").alias("in_function"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, 'app.m' || (p_partkey % 20) AS m FROM part WHERE p_partkey % 60 < 25),
+syms AS (SELECT DISTINCT m || '.C' || (k % 7) AS qn, 'Class' AS label FROM k UNION SELECT m || '.C' || (k % 7) || '.g' || (k % 5), 'Function' FROM k UNION SELECT m || '.h' || (k % 9), 'Function' FROM k),
+calls AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS call_index, l_orderkey % 20 AS f, 'app.m' || (l_orderkey % 20) AS m,
+  CASE l_linenumber % 5 WHEN 0 THEN 'h' || (l_partkey % 9) WHEN 4 THEN 'ren' || (l_partkey % 4) ELSE 'g' || (l_suppkey % 5) END AS bare,
+  CASE l_linenumber % 5 WHEN 1 THEN 'C' || (l_partkey % 7) WHEN 2 THEN 'al' || (l_suppkey % 3) WHEN 3 THEN 'C' || (l_partkey % 7) ELSE '' END AS qual FROM lineitem),
+imports AS (SELECT s_suppkey * 3 % 20 AS f, s_suppkey AS ord, 'app.m' || (s_suppkey * 11 % 20) || CASE WHEN s_suppkey % 3 = 0 THEN '.C' || (s_suppkey % 7) ELSE '' END AS module,
+  CASE s_suppkey % 3 WHEN 1 THEN ['C' || (s_suppkey % 7), 'C' || (s_suppkey * 2 % 7)] WHEN 2 THEN ['h' || (s_suppkey % 9)] ELSE [] END AS names,
+  CASE s_suppkey % 3 WHEN 0 THEN 'al' || (s_suppkey * 5 % 9 % 3) WHEN 2 THEN 'ren' || (s_suppkey % 4) ELSE '' END AS alias FROM supplier),
+tried AS (
+  SELECT call_index, 0 AS rank, 'same_module' AS strategy, c.m || '.' || qual || '.' || bare AS target FROM calls c JOIN syms s ON s.qn = c.m || '.' || qual AND s.label = 'Class' WHERE qual <> ''
+  UNION ALL SELECT call_index, 10, 'same_module', m || '.' || bare FROM calls
+  UNION ALL SELECT call_index, 100 + ord, 'import_map', CASE WHEN qual <> '' THEN CASE WHEN alias = qual THEN CASE WHEN len(names) > 0 THEN module || '.' || names[1] || '.' || bare ELSE module || '.' || bare END WHEN list_contains(names, qual) THEN module || '.' || qual || '.' || bare END
+    ELSE CASE WHEN list_contains(names, bare) THEN module || '.' || bare WHEN alias = bare THEN CASE WHEN len(names) > 0 THEN module || '.' || names[1] ELSE module END END END FROM calls c JOIN imports i ON c.f = i.f
+  UNION ALL SELECT call_index, 1000000000, 'fuzzy', u.target FROM calls c JOIN (SELECT regexp_extract(qn, '[^.]*$') AS name, min(qn) AS target FROM syms GROUP BY ALL HAVING count(*) = 1) u ON u.name = c.bare),
+best AS (SELECT t.* FROM tried t JOIN syms s ON s.qn = t.target QUALIFY row_number() OVER (PARTITION BY call_index ORDER BY rank, target) = 1)
+SELECT c.call_index, b.target, coalesce(b.strategy, 'unresolved') AS strategy FROM calls c LEFT JOIN best b ON c.call_index = b.call_index""")
+def resolve_qualified(spark, sf_dir):
+    return resolve.resolve(qualified_calls(spark, sf_dir), class_imports(spark, sf_dir), class_symbols(spark, sf_dir)).select("call_index", "target", "strategy")
+
+
+@query("""WITH syms AS (SELECT 'f' || (p_partkey % 700) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'proj.' ELSE 'other.' END || 'm' || p_partkey || '.f' || (p_partkey % 700) AS qn FROM part),
+named AS (SELECT name, count(*) AS n, min(qn) AS only_one, count(*) FILTER (starts_with(qn, 'proj.')) AS n_own, min(qn) FILTER (starts_with(qn, 'proj.')) AS own FROM syms GROUP BY name),
+known AS (SELECT name, CASE WHEN n = 1 THEN only_one WHEN n <= 5 AND n_own = 1 THEN own END AS target FROM named)
+SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS call_index, target FROM lineitem JOIN known ON name = 'f' || (l_partkey % 900) WHERE target IS NOT NULL""")
+def resolve_fuzzy_project(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f"), (k % 700).cast("string"))
+    symbols = table(spark, sf_dir, "part").select(name.alias("name"), F.concat(F.when(k % 3 == 0, "proj.").otherwise("other."), F.lit("m"), k.cast("string"), F.lit("."), name).alias("qualified_name"))
+    calls = table(spark, sf_dir, "lineitem").select(F.lit("a.py").alias("file_path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("call_index"), F.concat(F.lit("f"), (F.col("l_partkey") % 900).cast("string")).alias("bare"))
+    return resolve.fuzzy(calls, symbols, "proj").select("call_index", "target")
+
+
+SHAPES = """CASE CAST(event_id % 9 AS INT)
+WHEN 0 THEN '{"imports": "a.b", "calls": null, "call_sites": [" g ", {"callee": 7, "name": "x"}, {"callee": "", "name": "h", "qual": "q", "line": "3"}], "unsupported_calls": 2}'
+WHEN 1 THEN '{"imports": [" a ", "", 3, {"module": "m", "names": "x, y,", "as": "z", "line": 4}, {"module_path": [], "path": "p", "scope": "local"}], "unsupported_calls": -1}'
+WHEN 2 THEN '{"imports": {"import": "q.r", "names": ["n", 5, " o "], "in_function": " f.g ", "scope": "local"}, "unsupported_calls": "2"}'
+WHEN 3 THEN '{"imports": 5, "calls": true}'
+WHEN 4 THEN '{"imports": [{"names": ["x"]}, {"module_path": 5, "module": "m"}, {"module_path": "  "}], "calls": {"target": "t", "source_qn": "s.q", "line": 9}}'
+WHEN 5 THEN '{"imports": null, "calls": []}' WHEN 6 THEN 'no json' WHEN 7 THEN '{"calls": [{"callee": "f", "line": 2.5}, {"callee": "f", "line": 0}, [1]]}' ELSE NULL END"""
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("own."), "event_type").alias("owner"), F.concat(F.lit("file"), (F.col("event_id") % 27).cast("string")).alias("file"), F.expr(SHAPES).alias("payload"))
+
+
+IMPORT_SHAPES = """v(k, pos, module_path, names, alias, line, scope, malformed) AS (VALUES (0, 0, 'a.b', '', '', 0, '', 0), (1, 0, 'a', '', '', 0, '', 0), (1, 1, NULL, '', '', 0, '', 1), (1, 2, NULL, '', '', 0, '', 1), (1, 3, 'm', 'x|y', 'z', 4, '', 0), (1, 4, 'p', '', '', 0, 'local', 0),
+(2, 0, 'q.r', 'n|o', '', 0, 'f.g', 0), (3, 0, NULL, '', '', 0, '', 1), (4, 0, NULL, 'x', '', 0, '', 1), (4, 1, NULL, '', '', 0, '', 1), (4, 2, NULL, '', '', 0, '', 1))"""
+CALL_SHAPES = """w(k, pos, callee, line, qual, inside, malformed) AS (VALUES (0, 0, 'g', 0, '', '', 0), (0, 1, NULL, 0, '', '', 1), (0, 2, 'h', 0, 'q', '', 0), (3, 0, NULL, 0, '', '', 1), (4, 0, 't', 9, '', 's.q', 0), (7, 0, 'f', 0, '', '', 0), (7, 1, 'f', 0, '', '', 0), (7, 2, NULL, 0, '', '', 1))"""
+
+
+@query(f"""WITH {IMPORT_SHAPES} SELECT event_id, pos, module_path, names, alias, line, CASE WHEN scope = 'local' THEN 'own.' || event_type ELSE scope END AS in_function, malformed FROM events JOIN v ON event_id % 9 = v.k""")
+def payload_imports(spark, sf_dir):
+    rows = payload.import_rows(shaped(spark, sf_dir), "payload", "owner")
+    return rows.select("event_id", "pos", "module_path", F.array_join("names", "|").alias("names"), "alias", "line", "in_function", "malformed")
+
+
+@query(f"""WITH {CALL_SHAPES} SELECT event_id, pos, callee, line, qual, CASE WHEN inside = '' THEN 'own.' || event_type ELSE inside END AS in_function, malformed FROM events JOIN w ON event_id % 9 = w.k""")
+def payload_call_sites(spark, sf_dir):
+    return payload.call_rows(shaped(spark, sf_dir), "payload", "owner").select("event_id", "pos", "callee", "line", "qual", "in_function", "malformed")
+
+
+@query(f"""WITH {IMPORT_SHAPES}, {CALL_SHAPES}, i AS (SELECT event_id % 27 AS file, v.* EXCLUDE (scope), CASE WHEN scope = 'local' THEN 'own.' || event_type ELSE scope END AS inside FROM events JOIN v ON event_id % 9 = v.k),
+c AS (SELECT event_id % 27 AS file, w.* EXCLUDE (inside), CASE WHEN inside = '' THEN 'own.' || event_type ELSE inside END AS inside FROM events JOIN w ON event_id % 9 = w.k)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT file, callee, line, qual, inside FROM c WHERE malformed = 0)) AS calls, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT file, module_path, names, alias, line, inside FROM i WHERE malformed = 0)) AS imports,
+(SELECT CAST(sum(malformed) AS BIGINT) FROM (SELECT malformed FROM i UNION ALL SELECT malformed FROM c)) AS malformed, (SELECT CAST(2 * count(*) AS BIGINT) FROM events WHERE event_id % 9 = 0) AS unsupported""")
+def payload_totals(spark, sf_dir):
+    return payload.totals(shaped(spark, sf_dir), "payload", "owner", "file")
+
+
+IGNORE_SPECS = [("", ["# rules", "*.min.js", "doc_1*.go", "!doc_11*.go", "/s0/en/", "tmp?/", "!/s0/en/doc_5.py"]), ("s1", ["/de/**/*.py", "*.md", "!doc_3*.md"]), ("s2/fr", ["doc_[0-4]*.ts"])]
+
+
+@query(r"""WITH f AS (SELECT doc_id, 's' || (doc_id % 4) || '/' || lang || CASE WHEN doc_id % 10 = 3 THEN '/tmp1' ELSE '' END || '/doc_' || doc_id || ['.py', '.test.ts', '.go', '.md', '', '.min.js'][doc_id % 6 + 1] AS path FROM documents)
+SELECT path, ends_with(path, '.min.js') OR (regexp_matches(path, '/doc_1[^/]*\.go$') AND NOT regexp_matches(path, '/doc_11[^/]*\.go$')) OR starts_with(path, 's0/en/') OR contains(path, '/tmp1/')
+OR regexp_matches(path, '^s1/de/.*\.py$') OR (regexp_matches(path, '^s1/.*\.md$') AND NOT regexp_matches(path, '/doc_3[^/]*\.md$')) OR regexp_matches(path, '^s2/fr/(.*/)?doc_[0-4][^/]*\.ts$') AS ignored FROM f""")
+def ignore_layers(spark, sf_dir):
+    k = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, (".py", ".test.ts", ".go", ".md", "", ".min.js"))), (k % 6 + 1).cast("int"))
+    path = F.concat(F.lit("s"), (k % 4).cast("string"), F.lit("/"), "lang", F.when(k % 10 == 3, "/tmp1").otherwise(""), F.lit("/doc_"), k.cast("string"), suffix)
+    return table(spark, sf_dir, "documents").select(path.alias("path")).select("path", repo.ignored_below(F.col("path"), IGNORE_SPECS).alias("ignored"))
+
+
+@query("""SELECT o_orderkey, ['src', 'node_modules', '.git', 'lib/vendor', 'a/build/b', 'targets'][o_orderkey % 6 + 1] || '/f' || o_orderkey || ['.py', '.PNG', '.zip', '.rs', ''][o_orderkey % 5 + 1] AS path,
+o_orderkey % 6 IN (0, 5) AND o_orderkey % 5 NOT IN (1, 2) AND o_totalprice * 20 <= 2097152 AS wanted FROM orders""")
+def skip_folders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), (k % m + 1).cast("int"))
+    path = F.concat(pick(("src", "node_modules", ".git", "lib/vendor", "a/build/b", "targets"), 6), F.lit("/f"), k.cast("string"), pick((".py", ".PNG", ".zip", ".rs", ""), 5))
+    return table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), "o_totalprice").select("o_orderkey", "path", repo.wanted(F.col("path"), F.col("o_totalprice") * 20).alias("wanted"))
+
+
+@query("""SELECT p_partkey, ['..pkg.m' || p_partkey, './src/a' || p_partkey || '.ts', 'x/y.test.js', 'crate', 'a/b.pyi'][p_partkey % 5 + 1] AS written,
+['pkg.m' || p_partkey, '.src.a' || p_partkey, 'x.y.test', 'crate', 'a.b'][p_partkey % 5 + 1] AS module, ['pkg', 'x/y', '', './d/e', '.'][p_partkey % 5 + 1] AS dir, ['pkg', 'x.y', '', 'd.e', ''][p_partkey % 5 + 1] AS folder FROM part""")
+def import_module_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    written = F.element_at(F.array(F.concat(F.lit("..pkg.m"), n), F.concat(F.lit("./src/a"), n, F.lit(".ts")), F.lit("x/y.test.js"), F.lit("crate"), F.lit("a/b.pyi")), (k % 5 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ("pkg", "x/y", "", "./d/e", "."))), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", written.alias("written"), folder.alias("dir")).select("p_partkey", "written", naming.module_path(F.col("written")).alias("module"), "dir", naming.folder(F.col("dir")).alias("folder"))
+
+
+@query(f"""WITH {FILES} SELECT 'unread' AS kind, language AS name FROM (SELECT DISTINCT CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN NOT contains(path, '.') THEN 'unknown' END AS language FROM files) WHERE language IS NOT NULL
+UNION ALL SELECT 'language', unnest(['bash', 'c', 'c_sharp', 'cpp', 'elixir', 'go', 'java', 'javascript', 'kotlin', 'lua', 'php', 'python', 'ruby', 'rust', 'scala', 'swift', 'typescript']) UNION ALL SELECT 'extensions', '30'""")
+def language_lists(spark, sf_dir):
+    known = spark.createDataFrame([("language", n) for n in naming.supported_languages()] + [("extensions", str(len(naming.supported_extensions())))], "kind string, name string")
+    return naming.unavailable(files(spark, sf_dir)).select(F.lit("unread").alias("kind"), F.col("language").alias("name")).unionByName(known)
+
+
+@query(f"WITH {PARTS}, e AS (SELECT qualified_name, unnest(range(1, len(string_split(qualified_name, '.')))) AS i FROM nodes) SELECT array_to_string(list_slice(string_split(qualified_name, '.'), 1, i), '.') AS prefix, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY prefix")
+def prefix_index(spark, sf_dir):
+    return naming.by_prefix(part_store(spark, sf_dir).table("symbols")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(strip_accents(lower(p_name || ' Čeština_ŽLUTÝ.kůň n' || p_partkey || ' Łódź Ő')), '[\p{L}\p{N}]+'), '|') AS terms FROM part""")
+def fold_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.terms(F.concat("p_name", F.lit(" Čeština_ŽLUTÝ.kůň n"), F.col("p_partkey").cast("string"), F.lit(" Łódź Ő"))), "|").alias("terms"))
+
+
+@query("""WITH gone AS (SELECT p_partkey FROM part WHERE p_size < 10) SELECT CAST(count(*) FILTER (p_partkey IN (SELECT p_partkey FROM gone)) AS BIGINT) AS n_deleted, CAST(count(*) FILTER (p_partkey NOT IN (SELECT p_partkey FROM gone)) AS BIGINT) AS n_left,
+CAST(count(*) FILTER (p_size % 7 <> 0) AS BIGINT) AS n_named, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part))) AS n_inserted FROM part""")
+def write_counts(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    left, n = storage.deleted(parts, parts.where("p_size < 10").select("p_partkey"))
+    named = storage.named_nodes(parts.select(F.when(F.col("p_size") % 7 != 0, F.col("p_partkey").cast("string")).otherwise("").alias("qualified_name")), strict=False)
+    known = table(spark, sf_dir, "part").select(F.concat(F.lit("p."), F.col("p_partkey").cast("string")).alias("qualified_name")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s."), F.col("s_suppkey").cast("string")).alias("qualified_name")))
+    inserted = storage.inserted(supply_edges(spark, sf_dir), known, ["ord"])
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return n.select(F.col("n").alias("n_deleted")).crossJoin(one(left, "n_left")).crossJoin(one(named, "n_named")).withColumn("n_inserted", F.lit(inserted).cast("long"))  # one row each
+
+
+@query(f"""WITH {SUPPLY}, few AS (SELECT * FROM supply WHERE CAST(substring(target_qn, 3) AS BIGINT) % 50 = 0), l1 AS (SELECT target_qn AS part, min(ord) AS ord FROM few WHERE source_qn = 's.1' GROUP BY ALL),
+l2 AS (SELECT f.source_qn AS node, l1.part, l1.ord AS first, f.ord FROM few f JOIN l1 ON f.target_qn = l1.part WHERE f.source_qn <> 's.1' QUALIFY row_number() OVER (PARTITION BY f.source_qn ORDER BY l1.ord, l1.part, f.ord) = 1),
+per AS (SELECT part, first, count(*) AS n FROM l2 GROUP BY ALL), run AS (SELECT *, coalesce(sum(n) OVER (ORDER BY first, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+kept AS (SELECT part FROM run WHERE before + 1 + (SELECT count(*) FROM l1) < (SELECT count(*) FROM l1) + 9)
+SELECT part AS node, 1 AS hop FROM l1 UNION ALL SELECT node, 2 FROM l2 WHERE part IN (SELECT part FROM kept)""")
+def bfs_capped(spark, sf_dir):
+    e = supply_edges(spark, sf_dir).where("cast(substring(target_qn, 3) as bigint) % 50 = 0")
+    both = e.unionByName(e.select(F.col("target_qn").alias("source_qn"), F.col("source_qn").alias("target_qn"), "type", "ord", "confidence"))
+    direct = both.where("source_qn = 's.1'").select("target_qn").distinct().count()
+    return graph.bfs(both, "s.1", callers=False, max_depth=2, max_nodes=direct + 9).select("node", "hop")

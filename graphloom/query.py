@@ -56,11 +56,22 @@ def find(store: Store, qualified_name: str) -> DataFrame:
     return store.table("symbols").where(F.col("qualified_name") == qualified_name)
 
 
+def symbols_of(store: Store, nodes: DataFrame) -> list[Symbol]:
+    """The symbols of rows (node, hop, confidence), by hop and name."""
+    rows = store.table("symbols").select(*REF).join(nodes, F.col("qualified_name") == F.col("node"))
+    return [Symbol(*(r[c] for c in REF), hop=r["hop"], confidence=r["confidence"]) for r in rows.select(*REF, "hop", "confidence").orderBy("hop", "qualified_name").collect()]
+
+
 def reached(store: Store, qualified_name: str, callers: bool, depth: int, most: int) -> list[Symbol]:
-    """In order of hops, then of how they were found."""
+    """All nodes of a search, which stops beyond ``most``; each with the greatest confidence of the edges it was met by."""
     nodes = graph.bfs(store.table("edges"), qualified_name, callers=callers, max_depth=depth, max_nodes=most)
-    rows = store.table("symbols").select(*REF).join(F.broadcast(nodes), F.col("qualified_name") == F.col("node"))  # at most the nodes' bound, and one level's neighbours
-    return [Symbol(*(r[c] for c in REF), hop=r["hop"], confidence=r["confidence"]) for r in rows.select(*REF, "hop", "confidence").orderBy("hop", "qualified_name").collect()]
+    return symbols_of(store, nodes.select("node", "hop", F.col("most").alias("confidence")))
+
+
+def near(store: Store, qualified_name: str, callers: bool) -> list[Symbol]:
+    """The first direct neighbours, no more than ``RELATED`` of them, whatever the node's degree."""
+    nodes = graph.first_neighbours(store.table("edges"), qualified_name, callers, RELATED)
+    return symbols_of(store, nodes.select("node", F.lit(1).alias("hop"), F.lit(None).cast("double").alias("confidence")))
 
 
 def truncated(source: str, most: int = text.SHOWN_BYTES) -> tuple[str, bool]:
@@ -79,8 +90,7 @@ def get_source(store: Store, qualified_name: str) -> Source | None:
     if row is None:
         return None
     shown, cut = truncated(row["source"])
-    near = {callers: reached(store, qualified_name, callers, 1, RELATED + 1)[:RELATED] for callers in (True, False)}
-    return Source(Symbol(*(row[c] for c in REF)), shown, cut, near[True], near[False])
+    return Source(Symbol(*(row[c] for c in REF)), shown, cut, near(store, qualified_name, True), near(store, qualified_name, False))
 
 
 def matching(store: Store, query: str, label: str | None = None, file_pattern: str | None = None, name_pattern: str | None = None) -> tuple[DataFrame, list]:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's folder where it names one; our own only where it is unset, as in tests."""
+    """The cluster's folder where it names one; else the warehouse, which is shared; our own on one machine only, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="graphloom-"))
+        local = spark.sparkContext.master.startswith("local")
+        own = tempfile.mkdtemp(prefix="graphloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or own)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,6 +45,25 @@ def insert_edges(edges: DataFrame, nodes: DataFrame, order: list[str]) -> DataFr
     return first_wins(alive.select(edges.columns), ["source_qn", "target_qn", "type"], order)
 
 
+def inserted(edges: DataFrame, nodes: DataFrame, order: list[str]) -> int:
+    """How many edges ``insert_edges`` gives."""
+    return insert_edges(edges, nodes, order).count()
+
+
+def named_nodes(nodes: DataFrame, strict: bool = True) -> DataFrame:
+    """Nodes with a qualified name; ``strict`` refuses tables with others when they are read, else these are left out."""
+    empty = F.coalesce(F.col("qualified_name"), F.lit("")) == ""
+    if not strict:
+        return nodes.where(~empty)
+    checked = F.when(empty, F.raise_error(F.lit("a node without a qualified name"))).otherwise(F.col("qualified_name"))
+    return nodes.withColumn("qualified_name", checked)
+
+
+def deleted(table: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``table`` without the keys, and one row with ``n``, how many rows they took."""
+    return delete_keys(table, keys), table.join(keys, keys.columns, "left_semi").agg(F.count("*").alias("n"))
+
+
 def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_anti")
 
@@ -69,7 +90,3 @@ def classify_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
         .otherwise("unchanged")
     )
     return s.join(c, "path", "full_outer").select("path", change.alias("change"))
-
-
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -7,11 +7,12 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import artifact, cli, index, query, render
-from graphloom.errors import ArtifactError, InvalidContextError, StoreNotFoundError
-from graphloom.operators import extract, scanners
+from graphloom import artifact, cli, index, query, render, storage
+from graphloom.errors import ArtifactError, InvalidContextError, InvalidNameError, StoreError, StoreNotFoundError
+from graphloom.functions import naming
+from graphloom.operators import extract, graph, scanners
 from graphloom.sources import repo
-from graphloom.store import Store
+from graphloom.store import MemoryStore, Store, projects
 from graphloom.streaming.ingest import Snapshots, stream_upserts
 
 SERVICE = '''"""Payments."""
@@ -270,3 +271,90 @@ def test_extraction_of_odd_files(spark):
     rows = [("a.py", None), ("b.py", "x = (" * 5), ("c.ts", ""), ("d.txt", "x"), ("e.py", "def f(:\n"), ("f.py", "\x00"), ("g.py", "(" * 5000)]
     found = extract.extracted(spark.createDataFrame(rows, "path string, source string")).collect()
     assert sorted(r["path"] for r in found) == ["a.py", "b.py", "c.ts", "e.py", "f.py", "g.py"] and all(r["symbols"] == [] for r in found)
+
+
+def test_walk_layers_ignore_files(spark, tmp_path):
+    """Ignore files of the root and of folders, hidden and underscored names, links, empty files and bytes that are no text."""
+    files = {
+        ".gitignore": "*.log\n/out1/\n!keep.log\n", ".cbmignore": "private*\n", "a.py": "x = 1\n", "keep.log": "k", "b.log": "b", "private.py": "", "out1/a.py": "x", "pkg/__init__.py": "", "pkg/_own.py": "y = 2\n",
+        "pkg/.gitignore": "/gen/\n*.tmp.py\n!private2.py\n", "pkg/gen/g.py": "g", "pkg/sub/gen/g.py": "g", "pkg/c.tmp.py": "c", "pkg/private2.py": "p", "node_modules/x.py": "x", "d/a.py": "d",
+    }
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    (tmp_path / "bytes.py").write_bytes(b"x = '\xff'\n")
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
+    (tmp_path / "linked").symlink_to(tmp_path / "d")
+    found = {r["path"]: r for r in repo.read_repository(spark, str(tmp_path), ["d/"]).collect()}
+    assert set(found) == {".gitignore", ".cbmignore", "a.py", "keep.log", "pkg/__init__.py", "pkg/_own.py", "pkg/.gitignore", "pkg/sub/gen/g.py", "bytes.py"}
+    assert found["bytes.py"]["source"] == "x = '�'\n" and found["bytes.py"]["size_bytes"] == 8 and found["pkg/__init__.py"]["source"] == ""
+    assert found["a.py"]["mtime_ns"] == (tmp_path / "a.py").stat().st_mtime_ns
+    assert set(repo.read_repository(spark, f"file://{tmp_path}", ["d/"]).select("path").toPandas()["path"]) == set(found)
+    assert "b.log" in {r["path"] for r in repo.read_repository(spark, str(tmp_path), follow_ignore_files=False).collect()}
+    assert [r["path"] for r in repo.read_repository(spark, str(tmp_path), max_files=2).orderBy("path").collect()] == [".cbmignore", ".gitignore"]
+    with pytest.raises(NotADirectoryError):
+        repo.read_repository(spark, str(tmp_path / "a.py"))
+
+
+def test_reader_of_ones_own(spark):
+    def reader(address):
+        if address == "bad":
+            raise OSError("gone")
+        return address.encode() * 2
+
+    infos = spark.createDataFrame([("a", "xy", 2, 5), ("b", "bad", 2, 6), ("c", "z", 1, 7)], "path string, address string, size_bytes long, mtime_ns long")
+    found = {r["path"]: (r["source"], r["error"]) for r in repo.read_files(infos, reader, most_bytes=1).collect()}
+    assert found == {"a": ("xyxy", None), "b": (None, "OSError: gone"), "c": ("zz", None)}
+
+
+def test_names_and_stores_out_of_order(spark, tmp_path):
+    assert naming.compute("a/b/__init__.py", "f", "C") == "a.b.C.f" and naming.compute("x.py", "f") == "x.f"
+    for bad in (("", "f", None), ("a.py", "", None), ("a.py", "f", "")):
+        with pytest.raises(InvalidNameError):
+            naming.compute(*bad)
+    assert [naming.project_name(r) for r in ("/a/b/", "..", "/", "", "c")] == ["b", "unknown", "unknown", "unknown", "c"]
+    store = Store(spark, str(tmp_path), "p")
+    store.begin_bulk()
+    with pytest.raises(StoreError):
+        store.begin_bulk()
+    store.end_bulk()
+    with pytest.raises(StoreError):
+        store.end_bulk()
+    store.checkpoint()
+    with pytest.raises(StoreNotFoundError):
+        Store(spark, str(tmp_path), "p", read_only=True)
+    with pytest.raises(StoreNotFoundError):
+        MemoryStore(spark, "p").table("files")
+    nodes = spark.createDataFrame([("a",), ("",)], "qualified_name string")
+    assert storage.named_nodes(nodes, strict=False).count() == 1
+    with pytest.raises(Exception, match="without a qualified name"):
+        storage.named_nodes(nodes).collect()
+
+
+def test_own_extractor_progress_and_projects(spark, tmp_path):
+    source = tmp_path / "src"
+    source.mkdir()
+    (source / "a.lua").write_text("first\nsecond\n")
+    extract.register("lua", lambda text: ([{"name": w, "label": "Function", "start_line": k + 1} for k, w in enumerate(text.split())], []))
+    steps = []
+
+    def progress(step, count):
+        steps.append((step, count))
+        raise ValueError("not passed on")
+
+    try:
+        done = index.run(spark, str(source), str(tmp_path / "store"), index.Config(on_progress=progress))
+    finally:
+        extract.OWN.clear()
+    assert done.nodes_total == 2 and steps == [("discovered", 1), ("stored", 2)]
+    store = Store(spark, str(tmp_path / "store"), "src", read_only=True)
+    assert [r["name"] for r in store.records().collect()] == ["first", "second"]
+    assert [r["name"] for r in projects(spark, str(tmp_path / "store")).collect()] == ["src"]
+    with pytest.raises(StoreError):
+        store.commit({})
+
+
+def test_a_hub_is_cut_before_it_is_collected(spark):
+    edges = spark.range(3000).selectExpr("concat('c', id) as source_qn", "'hub' as target_qn", "'CALLS' as type", "id as ord", "0.5 as confidence")
+    assert [r["node"] for r in graph.first_neighbours(edges, "hub", True, 20).collect()] == [f"c{k}" for k in range(20)]
+    assert graph.bfs(edges, "hub", callers=True, max_nodes=21).count() == 3000  # a node that is taken gives all its neighbours
