@@ -56,9 +56,13 @@ MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩī
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzaioustaaaaaaaaaaaaeeeeeeeeiioooooooooooouuuuuuuyyyyou"
 
 
+COMBINING = "".join(map(chr, range(0x300, 0x370)))  # marks that stand behind their letter
+
+
 def folded(text: Column) -> Column:
     """Lower case, marks of Latin letters removed, be they part of a letter or behind it."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", "")
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, MARKED + COMBINING, PLAIN))
 
 
 def terms(text: Column) -> Column:

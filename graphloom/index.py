@@ -134,12 +134,14 @@ def update(store: Store, current: DataFrame, root: str = "", config: Config | No
 
     known = config.incremental and store.exists()
     old = {name: store.table(name) for name in ("files", "file_hashes", "symbols")} if known else {}
-    stored = old["file_hashes"] if known else spark.createDataFrame([], "path string, sha256 string, mtime_ns bigint")
-    changes = storage.cut_lineage(storage.classify_changes(stored, current))  # paths only
-    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    if known:
+        changes = storage.cut_lineage(storage.classify_changes(old["file_hashes"], current))  # paths only
+        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        fresh = storage.cut_lineage(current.join(changes.where("change in ('added', 'changed')").select("path"), "path", "left_semi"))
+    else:
+        fresh = storage.cut_lineage(current)
+        counts = {"added": fresh.count()}
     told("discovered", sum(n for change, n in counts.items() if change != "removed"))
-    fresh = current.join(changes.where("change in ('added', 'changed')").select("path"), "path", "left_semi") if known else current
-    fresh = storage.cut_lineage(fresh)
     raw = storage.cut_lineage(extract.extracted(fresh.where(~F.coalesce(extract.skipped(F.col("path"), F.col("source")), F.lit(False)))))
     symbols = symbol_rows(fresh, raw)
     files = fresh.join(raw.select("path", "imports"), "path", "left").select(
@@ -152,17 +154,21 @@ def update(store: Store, current: DataFrame, root: str = "", config: Config | No
         symbols = storage.last_wins(kept.unionByName(symbols), ["qualified_name"], ["file_path", "start_line", "end_line"])
         files = old["files"].join(gone, "path", "left_anti").unionByName(files)
         hashes = old["file_hashes"].join(gone, "path", "left_anti").unionByName(hashes)
-    symbols, files = storage.cut_lineage(symbols), storage.cut_lineage(files)
+    symbols, files = storage.together(lambda: storage.cut_lineage(symbols), lambda: storage.cut_lineage(files))
     calls = call_rows(symbols)
     resolved = storage.cut_lineage(resolve.resolve(calls, import_rows(files, symbols), symbols, project))
     edges = storage.cut_lineage(edge_rows(calls, resolved, symbols, config.min_confidence))
     about = spark.range(1).select(F.lit(project).alias("name"), F.lit(root).alias("root_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("indexed_at"), F.lit(SCHEMA_VERSION).alias("schema_version"))
-    version = store.commit({"project": about, "files": files, "file_hashes": hashes, "symbols": symbols, "edges": edges})
-    hits = resolved.agg(F.count("*").alias("n"), F.count("target").alias("hit")).first()
-    totals = symbols.agg(F.count("*").alias("n"), F.coalesce(F.sum("unsupported_calls"), F.lit(0)).alias("unsupported")).first()
+    version, hits, totals, n_edges, n_errors = storage.together(
+        lambda: store.commit({"project": about, "files": files, "file_hashes": hashes, "symbols": symbols, "edges": edges}),
+        lambda: resolved.agg(F.count("*").alias("n"), F.count("target").alias("hit")).first(),
+        lambda: symbols.agg(F.count("*").alias("n"), F.coalesce(F.sum("unsupported_calls"), F.lit(0)).alias("unsupported")).first(),
+        edges.count,
+        lambda: raw.where("error is not null").count(),
+    )
     result = Result(
-        project, version, counts.get("added", 0), counts.get("changed", 0), counts.get("removed", 0), counts.get("unchanged", 0), totals["n"], edges.count(), hits["n"], hits["hit"], hits["n"] - hits["hit"], totals["unsupported"],
-        raw.where("error is not null").count(), time.monotonic() - began,
+        project, version, counts.get("added", 0), counts.get("changed", 0), counts.get("removed", 0), counts.get("unchanged", 0), totals["n"], n_edges, hits["n"], hits["hit"], hits["n"] - hits["hit"], totals["unsupported"],
+        n_errors, time.monotonic() - began,
     )
     told("stored", result.nodes_total)
     return result

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
+from graphloom.storage import cut_lineage
 
 # BM25's saturation and length normalisation, and the least inverse frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -114,21 +115,25 @@ def scored_terms(tree: tuple) -> list[list[str]]:
 def ranked(docs: DataFrame, query: str, keep: Column | None = None) -> DataFrame:
     """Matching rows of an ``indexed`` table with ``score`` by BM25, lower being better.
 
-    Frequencies and lengths are of all rows, whatever ``keep`` leaves; one pass
-    counts them, a second one scores.
+    Frequencies and lengths are of all rows, whatever ``keep`` leaves.  Texts are looked
+    through once; their counts, a few numbers a row, are kept in the shared folder for the scores.
     """
     tree = parse(query)
     phrases = scored_terms(tree)
+    own = [c for c in docs.columns if c != "words"]
     length = F.size(F.filter("words", lambda w: w.isNotNull()))
-    counted = docs.select("*", length.alias("_length"), *(phrase_count(F.col("words"), p).alias(f"_f{k}") for k, p in enumerate(phrases)))
+    hit = matches(F.col("words"), tree) & (F.lit(True) if keep is None else keep)
+    frequencies = [phrase_count(F.col("words"), p).alias(f"_f{k}") for k, p in enumerate(phrases)]
+    shown = [F.when(F.col("_hit"), F.col(c)).alias(c) for c in own]  # of rows that do not match nothing but the counts
+    counted = cut_lineage(docs.select(*own, length.alias("_length"), hit.alias("_hit"), *frequencies).select(*shown, "_length", "_hit", *(f"_f{k}" for k in range(len(phrases)))))
     facts = counted.agg(F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.sum((F.col(f"_f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(phrases))))  # one row
-    both = counted.crossJoin(F.broadcast(facts)) if keep is None else counted.where(keep).crossJoin(F.broadcast(facts))
+    both = counted.where("_hit").crossJoin(F.broadcast(facts))
     score = F.lit(0.0)
     for k in range(len(phrases)):
         f, d = F.col(f"_f{k}"), F.col(f"d{k}")
         idf = F.log((F.col("n") - d + 0.5) / (d + 0.5))
         score = score - F.greatest(idf, F.lit(LEAST_IDF)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("mean")))
-    return both.where(matches(F.col("words"), tree)).select(*(c for c in docs.columns if c != "words"), score.alias("score"))
+    return both.select(*own, score.alias("score"))
 
 
 def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -345,7 +345,7 @@ scored AS (SELECT doc_id, lang, round(- greatest(ln((n - d0 + 0.5) / (d0 + 0.5))
 
 def scored(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     docs = search.indexed(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", ["text"])
-    return search.ranked(docs, "idiot OR licensed", keep).select("doc_id", "lang", F.round("score", 6).alias("score"))
+    return search.ranked(docs.select("doc_id", "lang", "words"), "idiot OR licensed", keep).select("doc_id", "lang", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM scored ORDER BY score, doc_id LIMIT 10")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*calls: Callable[[], object]) -> list:
+    """What the calls give; they start jobs of their own, which run side by side."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: the last by ``order``.  A keyed aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

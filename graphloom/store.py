@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import StoreError, StoreNotFoundError
+from graphloom.storage import together
 
 # The tables' columns.
 CALLS = "array<struct<callee:string,line:int,qualifier:string>>"
@@ -60,9 +62,11 @@ class Store:
         version = (self.versions() or [0])[-1] + 1
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
         try:
-            for name, schema in TABLES.items():
+            def written(name: str, schema: str) -> None:
                 columns = [c.split()[0] for c in schema.replace(", ", "\n").split("\n")]
                 tables[name].select(columns).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{staged}/{name}")
+
+            together(*(partial(written, *t) for t in TABLES.items()))
             if not self.fs.rename(self._path(staged), self._path(f"{self.path}/v{version}")):
                 raise StoreError(f"{self.path}: version {version} exists")
         finally:
