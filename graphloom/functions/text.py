@@ -65,6 +65,11 @@ def folded(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, MARKED + COMBINING, PLAIN))
 
 
+def folded_word(word: str) -> str:
+    """The same of one word, as queries have it."""
+    return word.lower().translate(str.maketrans(MARKED, PLAIN, COMBINING))
+
+
 def terms(text: Column) -> Column:
     """Runs of letters and digits, folded."""
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

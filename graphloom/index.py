@@ -14,7 +14,7 @@ from graphloom import storage
 from graphloom.functions import naming, text
 from graphloom.operators import extract, resolve
 from graphloom.sources import repo
-from graphloom.store import CALLS, IMPORTS, SCHEMA_VERSION, Store
+from graphloom.store import CALLS, IMPORTS, SCHEMA_VERSION, Store, index_of
 
 #: Local imports come behind a file's own, in order of the lines they stand on.
 LOCAL = 1_000_000
@@ -155,12 +155,17 @@ def update(store: Store, current: DataFrame, root: str = "", config: Config | No
         files = old["files"].join(gone, "path", "left_anti").unionByName(files)
         hashes = old["file_hashes"].join(gone, "path", "left_anti").unionByName(hashes)
     symbols, files = storage.together(lambda: storage.cut_lineage(symbols), lambda: storage.cut_lineage(files))
+    postings = None
+    if known and store.indexed():  # of symbols from files that did not change they stay
+        parsed = fresh.select(F.col("path").alias("file_path"))
+        same = symbols.join(parsed, "file_path", "left_anti").select("qualified_name")
+        postings = store.postings().join(same, "qualified_name", "left_semi").unionByName(index_of(symbols.join(parsed, "file_path", "left_semi")))
     calls = call_rows(symbols)
     resolved = storage.cut_lineage(resolve.resolve(calls, import_rows(files, symbols), symbols, project))
     edges = storage.cut_lineage(edge_rows(calls, resolved, symbols, config.min_confidence))
     about = spark.range(1).select(F.lit(project).alias("name"), F.lit(root).alias("root_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("indexed_at"), F.lit(SCHEMA_VERSION).alias("schema_version"))
     version, hits, totals, n_edges, n_errors = storage.together(
-        lambda: store.commit({"project": about, "files": files, "file_hashes": hashes, "symbols": symbols, "edges": edges}),
+        lambda: store.commit({"project": about, "files": files, "file_hashes": hashes, "symbols": symbols, "edges": edges}, postings=postings),
         lambda: resolved.agg(F.count("*").alias("n"), F.count("target").alias("hit")).first(),
         lambda: symbols.agg(F.count("*").alias("n"), F.coalesce(F.sum("unsupported_calls"), F.lit(0)).alias("unsupported")).first(),
         edges.count,

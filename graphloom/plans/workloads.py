@@ -359,6 +359,26 @@ def fts_filtered_paged(spark, sf_dir):
     return rows.crossJoin(F.broadcast(total)).select("doc_id", "score", "total")  # one row
 
 
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", ["lang", "text"])
+
+
+@query(f"""WITH {WORDS}, each AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(strip_accents(lower(coalesce(lang, ''))), '[\\p{{L}}\\p{{N}}]+'), w)) AS term FROM words)
+SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_places FROM each GROUP BY term UNION ALL SELECT '', count(*), count(*) FROM words""")
+def index_terms(spark, sf_dir):
+    return documents_index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("places")).alias("n_places"))
+
+
+@query(f"""WITH {WORDS}, counted AS (SELECT doc_id, lang, len(w) + len(regexp_extract_all(coalesce(lang, ''), '[\\p{{L}}\\p{{N}}]+')) AS dl, w[1] AS first, ' ' || array_to_string(w, '  ') || ' ' AS t FROM words),
+hits AS (SELECT *, (length(t) - length(replace(t, ' apache  license ', ''))) // 17 AS f0, len(string_split(t, ' idiot ')) - 1 AS f1, CAST(first = 'the' AS INTEGER) AS f2 FROM counted),
+facts AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM hits)
+SELECT doc_id, round(- greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / mean)) - greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / mean))
+- greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM hits, facts WHERE (f0 > 0 OR f1 > 0 OR f2 > 0) AND lang IS DISTINCT FROM 'de'""")
+def index_lookup(spark, sf_dir):
+    hits = search.looked_up(documents_index(spark, sf_dir), "doc_id", "(apache + license OR text: idiot OR {text}: ^the) NOT -text: de", ["lang", "text"])
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT p_name, p_partkey FROM part WHERE p_name ILIKE '%R%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
 def search_like_paged(spark, sf_dir):
     return search.page(table(spark, sf_dir, "part").where(F.col("p_name").ilike("%R%")).select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], 20, 20)[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.operators import graph, search
-from graphloom.store import Store
+from graphloom.store import SEARCHED, Store
 
 # Bounds of the answers.
 RELATED, MOST_HITS, TRACE_NODES = 20, 50, 200
@@ -104,8 +104,8 @@ def matching(store: Store, query: str, label: str | None = None, file_pattern: s
         keep = keep & (F.col("label") == label)
     if not query.strip():
         return symbols.where(keep).select(*REF), [F.col("name"), F.col("qualified_name")]
-    docs = search.indexed(symbols.select(*REF, "name", "source"), "qualified_name", ["name", "qualified_name", "signature", "source"])
-    return search.ranked(docs.select(*REF, "name", "words"), query, keep), [F.col("score"), F.col("qualified_name")]
+    hits = search.looked_up(store.postings(), "qualified_name", query, SEARCHED)
+    return symbols.where(keep).select(*REF).join(hits, "qualified_name").select(*REF, "score"), [F.col("score"), F.col("qualified_name")]
 
 
 def find_symbols(store: Store, query: str, label: str | None = None, file_pattern: str | None = None, limit: int = 10, offset: int = 0, cap: int = MOST_HITS) -> Hits:

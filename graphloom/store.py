@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import StoreError, StoreNotFoundError
+from graphloom.operators import search
 from graphloom.storage import together
 
 # The tables' columns.
@@ -22,6 +23,15 @@ TABLES = {
     "edges": "source_qn string, target_qn string, type string, confidence double, strategy string, line int, ord string",
 }
 SCHEMA_VERSION = 1
+#: What a snapshot holds beside its tables, made from them: the index of the symbols' terms.
+POSTINGS = "term string, qualified_name string, length int, places array<int>"
+SEARCHED = ["name", "qualified_name", "signature", "source"]
+
+
+def index_of(symbols: DataFrame) -> DataFrame:
+    """The postings of symbols, which are names, signatures and sources."""
+    named = symbols.select("qualified_name", *(F.col(c).alias(f"_{c}") for c in SEARCHED))
+    return search.postings(named, "qualified_name", [f"_{c}" for c in SEARCHED])
 
 
 class Store:
@@ -53,8 +63,17 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder()}/{name}")
 
-    def commit(self, tables: dict[str, DataFrame], level: int = 3) -> int:
-        """Write a snapshot of all tables and make it the current one."""
+    def indexed(self) -> bool:
+        """Whether the current snapshot has postings; those of earlier releases have none."""
+        return self.fs.exists(self._path(f"{self.folder()}/postings"))
+
+    def postings(self) -> DataFrame:
+        if not self.indexed():
+            return index_of(self.table("symbols"))
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.folder()}/postings")
+
+    def commit(self, tables: dict[str, DataFrame], level: int = 3, postings: DataFrame | None = None) -> int:
+        """Write a snapshot of all tables and make it the current one; ``postings`` are those of its symbols, where they are known."""
         if self.read_only:
             raise StoreError(f"{self.path} is open for reading")
         if set(tables) != set(TABLES):
@@ -62,11 +81,13 @@ class Store:
         version = (self.versions() or [0])[-1] + 1
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
         try:
+            rows = tables | {"postings": search.in_order(index_of(tables["symbols"]) if postings is None else postings, "qualified_name")}
+
             def written(name: str, schema: str) -> None:
                 columns = [c.split()[0] for c in schema.replace(", ", "\n").split("\n")]
-                tables[name].select(columns).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{staged}/{name}")
+                rows[name].select(columns).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{staged}/{name}")
 
-            together(*(partial(written, *t) for t in TABLES.items()))
+            together(*(partial(written, *t) for t in TABLES.items()), partial(written, "postings", POSTINGS))
             if not self.fs.rename(self._path(staged), self._path(f"{self.path}/v{version}")):
                 raise StoreError(f"{self.path}: version {version} exists")
         finally:
@@ -171,7 +192,10 @@ class MemoryStore(Store):
             raise StoreNotFoundError(self.project)
         return self.held[-1][name]
 
-    def commit(self, tables: dict[str, DataFrame], level: int = 3) -> int:
+    def indexed(self) -> bool:
+        return False
+
+    def commit(self, tables: dict[str, DataFrame], level: int = 3, postings: DataFrame | None = None) -> int:
         if set(tables) != set(TABLES):
             raise StoreError(f"tables {sorted(tables)}")
         self.held.append({n: t.select([c.split()[0] for c in TABLES[n].replace(", ", "\n").split("\n")]) for n, t in tables.items()})

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from graphloom import artifact, cli, index, query, render, storage
 from graphloom.errors import ArtifactError, InvalidContextError, InvalidNameError, StoreError, StoreNotFoundError
 from graphloom.functions import naming
-from graphloom.operators import extract, graph, scanners
+from graphloom.operators import extract, graph, scanners, search
 from graphloom.sources import repo
-from graphloom.store import MemoryStore, Store, projects
+from graphloom.store import MemoryStore, Store, index_of, projects
 from graphloom.streaming.ingest import Snapshots, stream_upserts
 
 SERVICE = '''"""Payments."""
@@ -358,3 +358,28 @@ def test_a_hub_is_cut_before_it_is_collected(spark):
     edges = spark.range(3000).selectExpr("concat('c', id) as source_qn", "'hub' as target_qn", "'CALLS' as type", "id as ord", "0.5 as confidence")
     assert [r["node"] for r in graph.first_neighbours(edges, "hub", True, 20).collect()] == [f"c{k}" for k in range(20)]
     assert graph.bfs(edges, "hub", callers=True, max_nodes=21).count() == 3000  # a node that is taken gives all its neighbours
+
+
+def test_search_index(spark, tmp_path):
+    put(tmp_path / "r", {"a.py": "def charge_card(x):\n    return 'Crème brûlée'\n", "b.py": "def refund(x):\n    return charge_card(x)\n", "c.py": "def other():\n    pass\n"})
+    config, store = index.Config(project="p"), Store(spark, str(tmp_path / "s"), "p")
+    index.run(spark, str(tmp_path / "r"), str(tmp_path / "s"), config)
+    assert store.indexed()
+    names = lambda q: [s.qualified_name for s in query.find_symbols(store, q).matches]
+    assert sorted(names("charge_card")) == ["a.charge_card", "b.refund"]
+    assert names("name: charge + card") == ["a.charge_card"] and names("source: charge NOT name: charge") == ["b.refund"]
+    assert names("name: ^card") == [] and names("{name signature}: ^charge") == ["a.charge_card"] and names("-source: refund") == ["b.refund"]
+    assert names('CREME "brulee"') == ["a.charge_card"] and names("bru*") == names("brûlée") == ["a.charge_card"]
+    assert names("other NOT refund charge") == ["c.other"] and names('"..."') == [] and names("nothing") == []
+    for bad in ("a.b", "color: red", "(a", "a AND", "name:", "{name: a", "^"):
+        with pytest.raises(search.QueryError):
+            query.find_symbols(store, bad)
+    put(tmp_path / "r", {"b.py": "def refund(y):\n    return other()\n", "d.py": "def charge(z):\n    pass\n"})
+    os.utime(tmp_path / "r/b.py", (2_000_000_000, 2_000_000_000))
+    os.remove(tmp_path / "r/c.py")
+    index.run_incremental(spark, str(tmp_path / "r"), str(tmp_path / "s"), config)
+    rows = lambda df: sorted(map(tuple, df.select("term", "qualified_name", "length", "places").collect()))
+    assert rows(store.postings()) == rows(index_of(store.table("symbols")))
+    assert sorted(names("charge")) == ["a.charge_card", "d.charge"] and names("other") == ["b.refund"]
+    store.fs.delete(store._path(f"{store.folder()}/postings"), True)  # as earlier releases left it
+    assert not store.indexed() and sorted(names("charge")) == ["a.charge_card", "d.charge"]
