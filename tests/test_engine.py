@@ -205,13 +205,25 @@ def test_stored_source(spark):
 
 
 def test_snapshots_and_stream(spark, tmp_path):
-    table = Snapshots(spark, str(tmp_path / "t"), "k long, v string, n long")
-    assert table.read().count() == 0
-    for part, rows in enumerate(([(1, "a", 1), (2, "b", 1), (1, "c", 2)], [(2, "d", 3)])):
+    table = Snapshots(spark, str(tmp_path / "t"), "k long, v string, n long, bucket string", ["k"], buckets=8)
+    assert table.read().count() == 0 and table.versions() == []
+    for part, rows in enumerate(([(k, "a", 1, "x") for k in range(40)] + [(1, "c", 2, "y")], [(2, "d", 3, None), (77, "e", 1, "z")])):
         spark.createDataFrame(rows, table.schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream_upserts(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), table, ["k"], ["n"], str(tmp_path / "cp")).awaitTermination(60)
+        stream_upserts(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), table, ["n"], str(tmp_path / "cp")).awaitTermination(60)
         assert part + 1 <= table.versions()[-1]
-    assert sorted(map(tuple, table.read().collect())) == [(1, "c", 2), (2, "d", 3)]
+    wanted = {k: (k, "a", 1, "x") for k in range(40)} | {1: (1, "c", 2, "y"), 2: (2, "d", 3, None), 77: (77, "e", 1, "z")}
+    held = lambda: sorted(map(tuple, table.read().collect()))
+    assert held() == sorted(wanted.values())
+    before = table.manifest()["folders"]
+    version = table.upsert(spark.createDataFrame([(5, "f", 9, "w")], table.schema), ["n"])
+    after = table.manifest()["folders"]
+    assert set(after) == set(before) and sum(after[b] != before[b] for b in after) == 1  # the other buckets stay as they are
+    assert table.upsert(spark.createDataFrame([], table.schema), ["n"]) is None and table.versions()[-1] == version
+    table.upsert(spark.createDataFrame([(5, "f", 9, "w")], table.schema), ["n"])
+    table.prune(1)
+    assert held() == sorted((wanted | {5: (5, "f", 9, "w")}).values()) and len(table.versions()) == 1
+    named = set(table.manifest()["folders"].values())
+    assert {f"{d.name}/{b.name}" for d in (tmp_path / "t").glob("data-*") for b in d.glob("bucket1=*")} == named
 
 
 SOURCES = [
