@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import folded_word, terms
@@ -49,9 +49,11 @@ def parse(query: str) -> tuple:
     Words side by side mean AND and bind closest, then NOT, AND, OR.  ``a + b``
     is a phrase like ``"a b"``; ``^a`` stands first in its column (its words begin
     with ``^``); ``name: a``, ``{name path}: (a OR b)`` and ``-name: a`` look in these
-    columns, or in all but these; columns is None or (names, whether they are left out).
+    columns, or in all but these; columns is None or (names, whether they are left out).  ``NEAR(a "b c", 5)`` is
+    ('near', terms, 5): all of them with no more than five words (ten, if no number
+    is given) between the end of the first and the start of the last.
     """
-    found = re.findall(r'"[^"]*"|[():^+{}-]|[^\s():^+{}"-]+', query)
+    found = re.findall(r'"[^"]*"|[():^+{},-]|[^\s():^+{},"-]+', query)
     if sum(c == '"' for c in query) % 2 or not found:
         raise QueryError(query)
     at = 0
@@ -103,12 +105,31 @@ def parse(query: str) -> tuple:
             inner = either(columns)
             take(")")
             return inner
+        if peek() == "NEAR" and peek(1) == "(":
+            return near(columns)
+        return phrase(columns)
+
+    def near(columns: tuple | None) -> tuple:
+        take("NEAR")
+        take("(")
+        inner, most = [phrase(columns)], "10"
+        while peek() not in (")", ","):
+            inner.append(phrase(columns))
+        if peek() == ",":
+            take()
+            most = take()
+        take(")")
+        if not re.fullmatch("[0-9]{1,9}", most):
+            raise QueryError(query)
+        return ("near", inner, int(most)) if len(inner) > 1 else inner[0]
+
+    def phrase(columns: tuple | None) -> tuple:
         first = peek() == "^" and bool(take())
-        phrase = words()
+        joined = words()
         while peek() == "+":
             take()
-            phrase = phrase + words()
-        return ("term", ["^" + phrase[0], *phrase[1:]] if first and phrase else phrase, columns)
+            joined = joined + words()
+        return ("term", ["^" + joined[0], *joined[1:]] if first and joined else joined, columns)
 
     def row(columns: tuple | None) -> tuple:
         left = primary(columns)
@@ -134,7 +155,9 @@ def parse(query: str) -> tuple:
 
 
 def matches(words: Column, tree: tuple) -> Column:
-    """Whether the terms of a table without an index match; columns and first places are for stored indexes."""
+    """Whether the terms of a table without an index match; columns, first places and NEAR are for stored indexes."""
+    if tree[0] == "near":
+        raise QueryError("NEAR needs a stored index")
     if tree[0] == "term":
         if tree[2] or (tree[1] and tree[1][0].startswith("^")):
             raise QueryError("columns need a stored index")
@@ -143,18 +166,20 @@ def matches(words: Column, tree: tuple) -> Column:
     return a & b if tree[0] == "and" else a | b if tree[0] == "or" else a & ~b
 
 
-def leaves(tree: tuple) -> list[tuple]:
-    return [tree] if tree[0] == "term" else leaves(tree[1]) + leaves(tree[2])
+def leaves(tree: tuple, scored: bool = False) -> list[tuple]:
+    """The phrases of a query, or those that count for the rank: not what is behind a NOT."""
+    if tree[0] in ("term", "near"):
+        return [tree] if tree[0] == "term" else list(tree[1])
+    return leaves(tree[1], scored) + ([] if scored and tree[0] == "not" else leaves(tree[2], scored))
 
 
-def scored_leaves(tree: tuple) -> list[tuple]:
-    if tree[0] == "term":
-        return [tree]
-    return scored_leaves(tree[1]) + ([] if tree[0] == "not" else scored_leaves(tree[2]))
+def groups(tree: tuple) -> list[tuple]:
+    """The NEAR groups of a query."""
+    return [tree] if tree[0] == "near" else [] if tree[0] == "term" else groups(tree[1]) + groups(tree[2])
 
 
 def scored_terms(tree: tuple) -> list[list[str]]:
-    return [leaf[1] for leaf in scored_leaves(tree)]
+    return [leaf[1] for leaf in leaves(tree, True)]
 
 
 def bm25(frequencies: list[Column], documents: list[Column], length: Column, n: Column, mean: Column) -> Column:
@@ -207,6 +232,25 @@ def in_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartitionByRange("term", key).sortWithinPartitions("term", key)
 
 
+def together_within(rows: DataFrame, key: str, members: list[tuple[str, int, str]], most: int) -> DataFrame:
+    """(key, a count for each member): how many of the places of each stand in a stretch that has all of them.
+
+    Members are (column of places, words, name of the count).  A stretch ends where a member begins, and is
+    whole there if of each member a place before it ends no more than ``most`` words ahead.  One pass
+    forwards tells such ends, one pass backwards the nearest of them for each place; both are linear.
+    """
+
+    def marked(column: str, k: int, n: int) -> Column:
+        return F.transform(column, lambda x: F.struct(x.alias("at"), F.lit(k).alias("k"), F.lit(n).alias("n")))
+
+    each = rows.select(F.col(key).alias("row"), F.inline(F.concat(*(marked(c, k, n) for k, (c, n, _) in enumerate(members)))))
+    ahead = Window.partitionBy("row").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("row").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.max(F.when(F.col("k") == k, F.col("at") + F.col("n"))).over(ahead) >= F.col("at") - most, F.lit(False)) for k in range(len(members))])
+    ends = each.withColumn("whole", whole).withColumn("end", F.min(F.when(F.col("whole"), F.col("at"))).over(behind))
+    return ends.where(F.col("end") <= F.col("at") + F.col("n") + most).groupBy(F.col("row").alias(key)).agg(*(F.count(F.when(F.col("k") == k, 1)).alias(name) for k, (_, _, name) in enumerate(members)))
+
+
 def looked_up(index: DataFrame, key: str, query: str, columns: list[str]) -> DataFrame:
     """(key, score) of the rows that match, from their postings; only those of the query's terms are read."""
     tree = parse(query)
@@ -218,6 +262,9 @@ def looked_up(index: DataFrame, key: str, query: str, columns: list[str]) -> Dat
     asked = index.where(reduce(lambda a, b: a | b, fits, F.lit(False)))
     rows = asked.groupBy(key).agg(F.max("length").alias("length"), *(F.flatten(F.collect_list(F.when(f, F.col("places")))).alias(f"p{k}") for k, f in enumerate(fits)))
 
+    def place(part: tuple) -> int:
+        return next(k for k, leaf in enumerate(every) if leaf is part)
+
     def back(word: str, k: int) -> Column:
         return F.transform(f"p{number[word.lstrip('^')]}", lambda x: x - k)
 
@@ -236,13 +283,19 @@ def looked_up(index: DataFrame, key: str, query: str, columns: list[str]) -> Dat
         return found
 
     def holds(part: tuple) -> Column:
-        if part[0] == "term":
-            return F.col(f"f{next(k for k, leaf in enumerate(every) if leaf is part)}") > 0
+        if part[0] in ("term", "near"):
+            return F.col(f"f{place(part if part[0] == 'term' else part[1][0])}") > 0
         a, b = holds(part[1]), holds(part[2])
         return a & b if part[0] == "and" else a | b if part[0] == "or" else a & ~b
 
-    counted = cut_lineage(rows.select(key, "length", *(F.size(starts(leaf)).alias(f"f{k}") for k, leaf in enumerate(every))))
-    scored = [next(k for k, leaf in enumerate(every) if leaf is part) for part in scored_leaves(tree)]
+    grouped = {place(leaf): group for group in groups(tree) for leaf in group[1]}
+    counts = rows.select(key, "length", *((starts(leaf).alias(f"s{k}") if k in grouped else F.size(starts(leaf)).alias(f"f{k}")) for k, leaf in enumerate(every)))
+    for group in groups(tree):
+        members = [(f"s{k}", len(every[k][1]), f"f{k}") for k in map(place, group[1])]
+        full = counts.where(reduce(lambda a, b: a & b, [F.size(c) > 0 for c, _, _ in members]))
+        counts = counts.join(together_within(full, key, members, group[2]), key, "left")
+    counted = cut_lineage(counts.select(key, "length", *(F.coalesce(F.col(f"f{k}"), F.lit(0)).alias(f"f{k}") for k in range(len(every)))))
+    scored = [place(leaf) for leaf in leaves(tree, True)]
     facts = counted.agg(*(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in scored)).crossJoin(totals)  # one row
     hits = counted.where(holds(tree)).crossJoin(F.broadcast(facts))
     return hits.select(key, bm25([F.col(f"f{k}") for k in scored], [F.col(f"d{k}") for k in scored], F.col("length"), F.col("n"), F.col("mean")).alias("score"))

@@ -379,6 +379,14 @@ def index_lookup(spark, sf_dir):
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {WORDS}, places AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM words), a AS (SELECT * FROM places WHERE term = 'under'), b AS (SELECT * FROM places WHERE term = 'license')
+SELECT a.doc_id, CAST(count(DISTINCT a.place) AS BIGINT) AS n_under, CAST(count(DISTINCT b.place) AS BIGINT) AS n_license FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.place - b.place) - 1 <= 3 GROUP BY a.doc_id""")
+def index_near(spark, sf_dir):
+    of = lambda word: F.flatten(F.collect_list(F.when(F.col("term") == word, F.col("places"))))
+    rows = search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]).where("term in ('under', 'license')").groupBy("doc_id").agg(of("under").alias("a"), of("license").alias("b"))
+    return search.together_within(rows.where("size(a) > 0 and size(b) > 0"), "doc_id", [("a", 1, "n_under"), ("b", 1, "n_license")], 3)
+
+
 @query("SELECT p_name, p_partkey FROM part WHERE p_name ILIKE '%R%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
 def search_like_paged(spark, sf_dir):
     return search.page(table(spark, sf_dir, "part").where(F.col("p_name").ilike("%R%")).select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], 20, 20)[0]

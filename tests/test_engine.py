@@ -383,7 +383,10 @@ def test_search_index(spark, tmp_path):
     assert names("name: ^card") == [] and names("{name signature}: ^charge") == ["a.charge_card"] and names("-source: refund") == ["b.refund"]
     assert names('CREME "brulee"') == ["a.charge_card"] and names("bru*") == names("brûlée") == ["a.charge_card"]
     assert names("other NOT refund charge") == ["c.other"] and names('"..."') == [] and names("nothing") == []
-    for bad in ("a.b", "color: red", "(a", "a AND", "name:", "{name: a", "^"):
+    assert names("NEAR(def refund)") == ["b.refund"] and sorted(names("NEAR(charge x, 1)")) == ["a.charge_card", "b.refund"]
+    assert names("source: NEAR(def charge, 0)") == ["a.charge_card"] and names("source: NEAR(refund charge, 1)") == [] and names("source: NEAR(refund charge, 2)") == ["b.refund"]
+    assert names('NEAR(nothing x) OR NEAR("charge card" return brulee, 3)') == ["a.charge_card"] and names('NEAR("charge card" return brulee, 2)') == [] and names("x NOT NEAR(refund card)") == ["a.charge_card"]
+    for bad in ("NEAR(a", "NEAR(a, b)", "NEAR()", "a.b", "color: red", "(a", "a AND", "name:", "{name: a", "^"):
         with pytest.raises(search.QueryError):
             query.find_symbols(store, bad)
     put(tmp_path / "r", {"b.py": "def refund(y):\n    return other()\n", "d.py": "def charge(z):\n    pass\n"})
@@ -395,3 +398,25 @@ def test_search_index(spark, tmp_path):
     assert sorted(names("charge")) == ["a.charge_card", "d.charge"] and names("other") == ["b.refund"]
     store.fs.delete(store._path(f"{store.folder()}/postings"), True)  # as earlier releases left it
     assert not store.indexed() and sorted(names("charge")) == ["a.charge_card", "d.charge"]
+
+
+def test_near_against_slow(spark):
+    import random
+
+    rand = random.Random(5)
+    rows = [(k, *([sorted(rand.sample(range(60), rand.randint(1, 9))) for _ in range(3)])) for k in range(40)]
+    sizes, most = (1, 2, 1), 4
+
+    def slow(places):
+        hits = [set(), set(), set()]
+        for a in places[0]:
+            for b in places[1]:
+                for c in places[2]:
+                    if max(a, b, c) - min(a + 1, b + 2, c + 1) <= most:
+                        for k, x in enumerate((a, b, c)):
+                            hits[k].add(x)
+        return tuple(map(len, hits))
+
+    df = spark.createDataFrame(rows, "k int, a array<int>, b array<int>, c array<int>")
+    found = search.together_within(df, "k", [(c, n, f"n{c}") for c, n in zip("abc", sizes, strict=True)], most)
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == {r[0]: n for r in rows if any(n := slow(r[1:]))}
